@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,35 @@ def mean(value: str | Column, digits: int | None = None) -> Column:
     return F.when(F.count(value) > 0, total / F.count(value))
 
 
-def exact_median(df: DataFrame, value: str) -> float | None:
-    """Median over a whole DataFrame, without a global sort.
+def histogram(df: DataFrame, value: str) -> DataFrame:
+    """The distinct values ``v`` of a column and how often (``n``) each occurs.
 
-    The distinct values and their counts are written once to the shared folder.
-    Each round then cuts them at approximate quantiles, adds up the counts between
-    the cuts and keeps the ranges that hold the middle, about 1/64 of the values
-    whatever their distribution, until few enough are left to look at directly.
+    Equal values meet before the shuffle. The result is written once, and every
+    statistic over all values can be taken from it.
     """
     number = F.col(value).cast("double")
-    values = checkpoint(
+    return checkpoint(
         df.filter(number.isNotNull()).groupBy(number.alias("v")).agg(F.count("*").alias("n"))
     )
+
+
+def histogram_mean(digits: int | None = None) -> Column:
+    """Average over a histogram, as :func:`mean` gives it over the values."""
+    n = F.col("n")
+    if digits is None:
+        return F.try_divide(F.sum(F.col("v") * n), F.sum(n))
+    unit = F.lit(float(10**digits))
+    units = F.sum(F.rint(F.col("v") * unit).cast("long") * n).cast("double")
+    return F.try_divide(units / unit, F.sum(n))
+
+
+def histogram_median(values: DataFrame) -> float | None:
+    """Exact median of a histogram, without a global sort.
+
+    Each round cuts the values at approximate quantiles, adds up the counts
+    between the cuts and keeps the ranges that hold the middle: about 1/64 of
+    the values, whatever their distribution. The rest is small enough to look at.
+    """
     size, total = values.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if total == 0:
         return None
@@ -51,20 +69,20 @@ def exact_median(df: DataFrame, value: str) -> float | None:
     steps = F.array(*(F.lit(i / _CUTS) for i in range(1, _CUTS)))
     while size > MEDIAN_TAIL_VALUES:
         cuts = values.agg(F.percentile_approx("v", steps, F.lit(_ACCURACY))).first()[0]
-        bounds = F.array(*map(F.lit, sorted(set(cuts))))
+        bounds = list(enumerate(sorted(set(cuts))))
+        place = reduce(lambda c, b: c.when(F.col("v") <= b[1], b[0]), bounds, F)
         ranges = (
-            values.groupBy(F.size(F.filter(bounds, lambda cut: cut < F.col("v"))).alias("range"))
+            values.groupBy(place.otherwise(len(bounds)).alias("range"))
             .agg(
                 F.sum("n").alias("n"),
                 F.count("*").alias("size"),
                 F.min("v").alias("low"),
                 F.max("v").alias("high"),
             )
-            .orderBy("range")
             .collect()  # at most one row per cut
         )
         below, kept = 0, []
-        for part in ranges:
+        for part in sorted(ranges, key=lambda row: row.range):
             if below <= second and below + part.n > first:
                 kept.append((below, part))
             below += part.n
@@ -77,3 +95,8 @@ def exact_median(df: DataFrame, value: str) -> float | None:
         middle += [row.v for rank in (first, second) if seen <= rank < seen + row.n]
         seen += row.n
     return (middle[0] + middle[1]) / 2.0
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    """Median of a column over a whole DataFrame; NULLs do not count."""
+    return histogram_median(histogram(df, value))

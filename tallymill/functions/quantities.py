@@ -40,20 +40,27 @@ def cores(quantity: str | Column) -> Column:
     q = _col(quantity)
     milli = F.substring_index(q, "m", 1).try_cast("float") / F.lit(1000.0)
     number = F.when(q.contains("m"), milli.cast("float")).otherwise(q.try_cast("float"))
-    return F.greatest(F.ceil(number), F.lit(0)).cast("long")
+    return F.when(number < 0, F.lit(0)).otherwise(F.ceil(number)).cast("long")
 
 
-def mib(quantity: str | Column, factor: float = 1.0) -> Column:
-    """Whole MiB of a memory quantity times ``factor``, rounded down."""
-    q = _col(quantity)
-    # Digits and the unit behind them; a unit not listed gives NULL.
-    number = F.regexp_extract(q, r"^([0-9]*\.?[0-9]+|[0-9]+\.)([A-Za-z]*)$", 1)
-    unit = F.regexp_extract(q, r"^([0-9]*\.?[0-9]+|[0-9]+\.)([A-Za-z]*)$", 2)
-    size = F.lit(None).cast("double")
-    for name, per_unit in MIB_PER_UNIT.items():
-        size = F.when(unit == name, F.lit(per_unit)).otherwise(size)
-    scaled = number.try_cast("float") * F.lit(float(np.float32(factor))).cast("float")
-    return F.floor(scaled * size).cast("long")
+_MEMORY = r"^([0-9]*\.?[0-9]+|[0-9]+\.)([A-Za-z]*)$"
+
+
+def _mebi(quantity: Column, factor: Column) -> Column:
+    """Whole MiB of a memory quantity times a factor, rounded down.
+
+    The number and the size of its unit are the same terms wherever this is
+    used on a quantity, so they are computed once a row.
+    """
+    number = F.regexp_extract(quantity, _MEMORY, 1).try_cast("float")
+    sizes = F.create_map(*(F.lit(x) for unit in MIB_PER_UNIT.items() for x in unit))
+    size = F.try_element_at(sizes, F.regexp_extract(quantity, _MEMORY, 2))
+    return F.floor(number * factor.cast("float") * size).cast("long")
+
+
+def mib(quantity: str | Column) -> Column:
+    """Whole MiB of a memory quantity; an unknown unit or no number gives NULL."""
+    return _mebi(_col(quantity), F.lit(1.0))
 
 
 def usable_mib(quantity: str | Column, jvm: bool | Column = True) -> Column:
@@ -62,10 +69,11 @@ def usable_mib(quantity: str | Column, jvm: bool | Column = True) -> Column:
     A limit below the smallest overhead is returned as it is.
     """
     one = np.float32(1.0)
-    whole = mib(quantity)
-    jvm_part = mib(quantity, float(one / (one + np.float32(JVM_OVERHEAD))))
-    other_part = mib(quantity, float(one / (one + np.float32(OTHER_OVERHEAD))))
+    # The factors are single precision numbers, as the quantities are.
+    jvm_share = float(one / (one + np.float32(JVM_OVERHEAD)))
+    other_share = float(one / (one + np.float32(OTHER_OVERHEAD)))
     is_jvm = F.lit(jvm) if isinstance(jvm, bool) else jvm
-    reduced = F.when(is_jvm, jvm_part).otherwise(other_part)
+    whole = mib(quantity)
+    reduced = _mebi(_col(quantity), F.when(is_jvm, jvm_share).otherwise(other_share))
     deduction = F.greatest(F.lit(MIN_OVERHEAD_MIB), whole - reduced)
     return F.when(whole < MIN_OVERHEAD_MIB, whole).otherwise(whole - deduction)

@@ -40,12 +40,17 @@ def parse_log_events(records: DataFrame, raw: str = "raw") -> DataFrame:
     """The fields of XML log records beside their raw text; other columns are kept.
 
     The parser does not look at the root tag, so it is taken from the text.
+
+    The parsed event comes out of a generator of one row: a filter on its fields
+    then stays above the parser. Below it, the optimizer would repeat the parse
+    for every field the filter mentions.
     """
     parsed = F.from_xml(
         F.col(raw), LOG_EVENT.simpleString(), {"columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    return records.withColumn("event", parsed).withColumn(
-        "root_tag", F.regexp_extract(raw, r"^\s*(?:<\?.*?\?>\s*)?<([A-Za-z_][\w:.-]*)", 1)
+    root = F.regexp_extract(raw, r"^\s*(?:<\?.*?\?>\s*)?<([A-Za-z_][\w:.-]*)", 1)
+    return records.select(
+        "*", root.alias("root_tag"), F.explode(F.array(parsed)).alias("event")
     )
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.functions.numeric import exact_median, mean
+from tallymill.functions.numeric import histogram, histogram_mean, histogram_median, mean
 from tallymill.functions.text import failed_step, failed_tests, run_namespace
-from tallymill.session import checkpoint
 
 # Shorter runs are quick failures, older runs are forgotten.
 MIN_RUNTIME = 30.0
@@ -108,16 +107,15 @@ def overall_runtime(
 ) -> DataFrame:
     """Mean, median, fastest and slowest duration over all keys.
 
-    The median needs several looks at the durations, so they are written once.
+    The history is read once, into a histogram; all statistics come from that.
     """
-    durations = checkpoint(history.select(duration))
-    median = exact_median(durations, duration)
-    return durations.agg(
-        F.count(duration).alias("runs"),
-        mean(duration, digits).alias("mean"),
-        F.lit(median).cast("double").alias("median"),
-        F.min(duration).alias("fastest"),
-        F.max(duration).alias("slowest"),
+    values = histogram(history, duration)
+    return values.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("runs"),
+        histogram_mean(digits).alias("mean"),
+        F.lit(histogram_median(values)).cast("double").alias("median"),
+        F.min("v").alias("fastest"),
+        F.max("v").alias("slowest"),
     )
 
 

@@ -134,16 +134,16 @@ def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spread(factor: int, modulus: int, seed: int) -> str:
-    return f"(((o_orderkey % {FOLD}) * {factor} + {seed}) % {modulus})"
+    return f"((((o_orderkey % {FOLD}) * {factor} + {seed}) % {FOLD}) % {modulus})"
 
 
 SEED = 42
 RECORDS = f"""
-SELECT o_orderkey AS id, {_spread(31_337, 1000, SEED)} + 1 AS int_field,
+SELECT o_orderkey AS id, {_spread(381_967, 1000, SEED)} + 1 AS int_field,
        {' || '.join(
-           f"substr('{LETTERS}', CAST({_spread(7919 + 2 * i * i, len(LETTERS), SEED)} + 1 AS INTEGER), 1)"
+           f"substr('{LETTERS}', CAST({_spread(618_033 + 12_347 * i, len(LETTERS), SEED)} + 1 AS INTEGER), 1)"
            for i in range(TEXT_LENGTH))} AS text_field,
-       strftime(DATE '2021-01-01' + CAST((o_orderkey % 12) * 30 + {_spread(104_729, 30, SEED)}
+       strftime(DATE '2021-01-01' + CAST((o_orderkey % 12) * 30 + {_spread(271_829, 30, SEED)}
                 AS INTEGER), '%Y-%m-%d') AS date_field
 FROM orders"""
 

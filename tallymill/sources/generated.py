@@ -34,17 +34,18 @@ def records_for(ids: DataFrame, id_column: str, seed: int = 0) -> DataFrame:
     folded = F.pmod(key, F.lit(FOLD))
 
     def spread(factor: int, modulus: int) -> Column:
-        return F.pmod(folded * F.lit(factor) + F.lit(seed), F.lit(modulus))
+        # Folding by the prime again keeps the columns from repeating each other.
+        return F.pmod(F.pmod(folded * F.lit(factor) + F.lit(seed), F.lit(FOLD)), F.lit(modulus))
 
     letters = [
-        F.substring(F.lit(LETTERS), (spread(7919 + 2 * i * i, len(LETTERS)) + 1).cast("int"), 1)
+        F.substring(F.lit(LETTERS), (spread(618_033 + 12_347 * i, len(LETTERS)) + 1).cast("int"), 1)
         for i in range(TEXT_LENGTH)
     ]
-    days = F.pmod(key, F.lit(12)) * 30 + spread(104_729, 30)
+    days = F.pmod(key, F.lit(12)) * 30 + spread(271_829, 30)
     day = F.date_add(F.to_date(F.lit("2021-01-01")), days.cast("int"))
     return ids.select(
         key.alias("id"),
-        (spread(31_337, 1000) + 1).alias("int_field"),
+        (spread(381_967, 1000) + 1).alias("int_field"),
         F.concat(*letters).alias("text_field"),
         F.date_format(day, "yyyy-MM-dd").alias("date_field"),
     )

@@ -40,11 +40,11 @@ def event_log_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_event_log(lines: DataFrame) -> DataFrame:
     """Typed columns of event-log lines; needs ``log``, ``modified`` and ``value``.
 
-    The event name comes first in every line, so it is cut out by position
-    before any JSON is parsed. The other fields are read for the start and end
-    of an application only.
+    The event name comes first in every line, so a match at its beginning finds
+    it before any JSON is parsed. The other fields are read for the start and
+    end of an application only.
     """
-    event = F.regexp_extract("value", r'"Event"\s*:\s*"([^"]+)"', 1)
+    event = F.regexp_extract("value", r'^\s*\{\s*"Event"\s*:\s*"([^"]+)"', 1)
     tagged = lines.withColumn("event", F.nullif(event, F.lit("")))
     framing = F.col("event").isin(APPLICATION_START, APPLICATION_END)
 
@@ -141,20 +141,21 @@ PATTERN_LINE = (
 
 
 def parse_pattern_log(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Time, level, thread, logger and message; lines in another form keep only ``value``."""
-    matched = F.col(value).rlike(PATTERN_LINE)
+    """Time, level, thread, logger and message; lines in another form keep only ``value``.
 
-    def part(group: int) -> Column:
-        return F.when(matched, F.regexp_extract(value, PATTERN_LINE, group))
-
-    clock = F.translate(part(1), "T,", " .")
-    return lines.select(
-        clock.try_cast("timestamp").alias("ts"),
-        part(2).alias("level"),
-        part(3).alias("thread"),
-        part(4).alias("logger"),
-        part(5).alias("message"),
-        F.col(value).alias("value"),
+    One match per line puts the parts on lines of their own, which no part can
+    contain.
+    """
+    matched = F.col(value).rlike(PATTERN_LINE)
+    split = F.split(F.regexp_replace(value, PATTERN_LINE, "$1\n$2\n$3\n$4\n$5"), "\n", 5)
+    part = F.col("_parts")
+    return lines.select(F.when(matched, split).alias("_parts"), F.col(value).alias("value")).select(
+        F.translate(part[0], "T,", " .").try_cast("timestamp").alias("ts"),
+        part[1].alias("level"),
+        part[2].alias("thread"),
+        part[3].alias("logger"),
+        part[4].alias("message"),
+        "value",
     )
 
 
@@ -175,19 +176,21 @@ def parse_prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     line = F.btrim(F.col(value), F.lit(" \t\r"))
     others = [c for c in lines.columns if c != value]
-    body = F.regexp_extract("_line", SAMPLE_LINE, 2)
-    labels = F.map_from_arrays(
-        F.regexp_extract_all(body, F.lit(LABEL), F.lit(1)),
-        F.regexp_extract_all(body, F.lit(LABEL), F.lit(2)),
-    )
+    matched = line.rlike(SAMPLE_LINE)
+    split = F.split(F.regexp_replace(line, SAMPLE_LINE, "$1\n$2\n$3"), "\n", 3)
+    part = F.col("_parts")
+
+    def in_labels(group: int) -> Column:
+        return F.regexp_extract_all(part[1], F.lit(LABEL), F.lit(group))
+
     return (
-        lines.withColumn("_line", line)
-        .filter((F.col("_line") != "") & ~F.col("_line").startswith("#"))
+        lines.filter((line != "") & ~line.startswith("#"))
+        .select(*others, F.when(matched, split).alias("_parts"))
         .select(
             *others,
-            F.nullif(F.regexp_extract("_line", SAMPLE_LINE, 1), F.lit("")).alias("name"),
-            labels.alias("labels"),
-            F.regexp_extract("_line", SAMPLE_LINE, 3).try_cast("double").alias("value"),
+            part[0].alias("name"),
+            F.map_from_arrays(in_labels(1), in_labels(2)).alias("labels"),
+            part[2].try_cast("double").alias("value"),
         )
     )
 

@@ -40,17 +40,19 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
 
 
 def read_batches(
-    spark: SparkSession, path: str, schema: StructType | str, before: int | None = None
+    spark: SparkSession, path: str, schema: StructType | str, streams: bool = False
 ) -> DataFrame:
-    """The rows of all batches so far, with the number of the batch."""
+    """The rows of all batches so far, with the number of the batch.
+
+    ``streams`` is for folders that several streams share, one below the other.
+    """
     if not isinstance(schema, str):
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    filesystem_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = filesystem_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(filesystem_path):
-        return spark.createDataFrame([], f"{schema}, batch long")
-    rows = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+    schema += ", stream string, batch long" if streams else ", batch long"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
 # --- word counts ------------------------------------------------------------
@@ -165,6 +167,8 @@ def current_phases(
 
 # --- once-only work ---------------------------------------------------------
 
+_QUERY_ID = "sql.streaming.queryId"
+
 
 def stream_once(
     events: DataFrame,
@@ -177,34 +181,39 @@ def stream_once(
 ) -> StreamingQuery:
     """Act on the first event of each key, once in the life of the key.
 
-    A key that the ledger of earlier batches holds is skipped. The ledger is
-    written right after the action; between the two steps a failure repeats the
-    batch. Its results and its ledger entries then replace those of the first
-    try, so the results hold each key once. An action with effects elsewhere must
-    be safe to repeat.
+    A key that the ledger holds is skipped, whichever stream has put it there.
+    The ledger is written right after the action; between the two steps a failure
+    repeats the batch. Its results and its ledger entries then replace those of
+    the first try, so the results hold each key once. An action with effects
+    elsewhere must be safe to repeat.
     """
     key_type = events.schema[key].dataType.simpleString()
     ledger_schema = f"{key} {key_type}, phase string"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = read_batches(spark, f"{path}/ledger", ledger_schema, before=batch_id)
+        # A checkpoint keeps the identity of its stream over restarts. A stream
+        # with another checkpoint counts its batches anew, in its own folder.
+        stream = spark.sparkContext.getLocalProperty(_QUERY_ID)
+        mine = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
+        ledger = read_batches(spark, f"{path}/ledger", ledger_schema, streams=True)
         others = [c for c in batch.columns if c != key]
         first = batch.groupBy(key).agg(
             F.min_by(F.struct(*others), F.struct(*order)).alias("first")
         )
-        fresh = not_yet_processed(first.select(key, "first.*"), ledger, key)
-        write_batch(act(fresh, batch_id) if act else fresh, f"{path}/results", batch_id)
-        done = spark.read.parquet(f"{path}/results/batch={batch_id}")
-        write_batch(
-            done.select(key, F.lit("Unknown").alias("phase")), f"{path}/ledger", batch_id
-        )
+        fresh = not_yet_processed(first.select(key, "first.*"), ledger.filter(~mine), key)
+        results = f"{path}/results/stream={stream}"
+        write_batch(act(fresh, batch_id) if act else fresh, results, batch_id)
+        done = spark.read.parquet(f"{results}/batch={batch_id}")
+        entries = done.select(key, F.lit("Unknown").alias("phase"))
+        write_batch(entries, f"{path}/ledger/stream={stream}", batch_id)
 
     return start(events.writeStream.foreachBatch(process), checkpoint, once)
 
 
 def processed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return read_batches(spark, f"{path}/results", schema)
+    """The results of all streams that share a ledger."""
+    return read_batches(spark, f"{path}/results", schema, streams=True).drop("stream", "batch")
 
 
 # --- table ingest -----------------------------------------------------------

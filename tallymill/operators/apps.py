@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.session import broadcast_if_small
-from tallymill.sources.logs import APPLICATION_END, APPLICATION_START
+from tallymill.sources.logs import APPLICATION_END, APPLICATION_EVENT, APPLICATION_START
 
 UNKNOWN = "Unknown"
 TERMINAL = ["Succeeded", "Failed"]
@@ -65,13 +65,15 @@ def orphans(events: DataFrame, apps: DataFrame, on: list[str]) -> DataFrame:
 def list_applications(event_log: DataFrame) -> DataFrame:
     """One row per application that has started.
 
-    Only the start and end lines are looked at. The end line does not name the
-    application, so the log a line belongs to is the key.
+    Only the start and end lines are looked at, and a plain search of the text
+    finds almost no others. The end line does not name the application, so the
+    log a line belongs to is the key.
     """
     start = F.col("event") == APPLICATION_START
     end = F.col("event") == APPLICATION_END
     return (
-        event_log.filter(start | end)
+        event_log.filter(F.col("value").contains(APPLICATION_EVENT))
+        .filter(start | end)
         .groupBy("log")
         .agg(
             F.max(F.when(start, F.col("app_id"))).alias("app_id"),

@@ -22,13 +22,14 @@ rule           result
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
 from tallymill.operators.apps import not_yet_processed
-from tallymill.session import broadcast_if_small
+from tallymill.session import broadcast_if_small, checkpoint
 
 # How annotations name a layer, and the greatest index.
 LAYER_ANNOTATION = r"^spark-application\.template\.(\d+)\.name$"
@@ -38,6 +39,8 @@ OWN_LAYER = MAX_INDEX + 1
 
 ROW_RULES = ("last", "last_set", "first_set", "concat", "fragment", "fragment_base")
 ENTRY_RULES = ("union", "named", "env")
+# Used on the elements of a named list only.
+_PLACE, _ANY = "place", "any"
 
 
 # --- layers of a document ---------------------------------------------------
@@ -108,6 +111,10 @@ def _row_rule(value: Column, layer: Column, rule: str, kind) -> Column:
         return F.max_by(value, _set(value, layer))
     if rule == "first_set":
         return F.min_by(value, _set(value, layer))
+    if rule == _PLACE:
+        return F.min(value)
+    if rule == _ANY:
+        return F.bool_or(value)
     if rule == "concat":
         parts = F.collect_list(
             F.when(value.isNotNull(), F.struct(layer.alias("l"), value.alias("v")))
@@ -177,40 +184,79 @@ def _merge_named(docs: DataFrame, keys: list[str], layer: str, column: str) -> D
     """Merge lists of structs by element name, in the order of first appearance."""
     element: StructType = docs.schema[column].dataType.elementType
     fields = [f for f in element.fields if f.name != "name"]
-    elements = docs.select(*keys, layer, F.posexplode(column).alias("_pos", "_el")).select(
+    elements = docs.select(
         *keys,
         layer,
-        "_pos",
+        F.col(column).isNotNull().alias("_present"),
+        F.posexplode_outer(column).alias("_pos", "_el"),
+    ).select(
+        *keys,
+        layer,
+        "_present",
+        F.when(F.col("_pos").isNotNull(), F.struct(layer, "_pos")).alias("_first"),
         F.col("_el.name").alias("name"),
         *(F.col(f"_el.{f.name}").alias(f.name) for f in fields),
     )
     rules = {
         f.name: "union" if isinstance(f.dataType, MapType) else "last_set" for f in fields
     }
-    place = F.struct(layer, "_pos")
-    first = elements.groupBy(*keys, "name").agg(F.min(place).alias("_place"))
-    merged = first.join(layered_merge(elements, [*keys, "name"], layer, rules), [*keys, "name"])
+    # The name of a key without elements is NULL, and a join does not find that.
+    named = F.coalesce("name", F.lit(""))
+    merged = _merge(
+        elements.withColumn("name", named),
+        [*keys, "name"],
+        layer,
+        {**rules, "_first": _PLACE, "_present": _ANY},
+    )
     struct = F.struct(*(F.col(f.name) for f in element.fields))
-    listed = F.collect_list(F.struct(F.col("_place"), struct.alias("_el")))
-    ordered = F.array_sort(
-        listed,
-        lambda a, b: F.when(a["_place"] < b["_place"], -1).when(a["_place"] > b["_place"], 1)
-        .otherwise(0),
+    listed = F.collect_list(
+        F.when(F.col("_first").isNotNull(), F.struct("_first", struct.alias("_el")))
+    )
+    ordered = F.array_sort(listed, lambda a, b: _compare(a["_first"], b["_first"]))
+    elements_in_order = F.transform(ordered, lambda e: e["_el"])
+    return merged.groupBy(*keys).agg(
+        F.when(F.bool_or("_present"), elements_in_order).alias(column)
     )
-    return merged.groupBy(*keys).agg(F.transform(ordered, lambda e: e["_el"]).alias(column))
 
 
 def _merge_env(docs: DataFrame, keys: list[str], layer: str, column: str) -> DataFrame:
     """Merge lists of name and value: the last value per name, sorted by name."""
-    entries = docs.select(*keys, layer, F.posexplode(column).alias("_pos", "_el"))
+    entries = docs.select(
+        *keys,
+        layer,
+        F.col(column).isNotNull().alias("_present"),
+        F.posexplode_outer(column).alias("_pos", "_el"),
+    )
     last = entries.groupBy(*keys, F.col("_el.name").alias("name")).agg(
-        F.max_by(F.col("_el.value"), F.struct(layer, "_pos")).alias("value")
+        F.max_by(F.col("_el.value"), F.struct(layer, "_pos")).alias("value"),
+        F.bool_or("_present").alias("_present"),
     )
+    pairs = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))
     return last.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("name", "value"))).alias(column)
+        F.when(F.bool_or("_present"), F.array_sort(pairs)).alias(column)
     )
 
 
+def _merge(docs: DataFrame, keys: list[str], layer: str, rules: Mapping[str, str]) -> DataFrame:
+    """Merge by groups of rules and bring the groups together.
+
+    Each group gives one row per key, partitioned by it, so joining them adds no
+    shuffle.
+    """
+    parts = []
+    if rows := {c: rule for c, rule in rules.items() if rule not in ENTRY_RULES}:
+        merged = (
+            _row_rule(F.col(c), F.col(layer), rule, docs.schema[c].dataType).alias(c)
+            for c, rule in rows.items()
+        )
+        parts.append(docs.groupBy(*keys).agg(*merged))
+    if maps := [c for c, rule in rules.items() if rule == "union"]:
+        parts.append(_merge_maps(docs, keys, layer, maps))
+    parts += [_merge_named(docs, keys, layer, c) for c, rule in rules.items() if rule == "named"]
+    parts += [_merge_env(docs, keys, layer, c) for c, rule in rules.items() if rule == "env"]
+    return reduce(lambda left, right: left.join(right, keys), parts)
+
+
 def layered_merge(
     docs: DataFrame, key: str | list[str], layer: str, rules: Mapping[str, str]
 ) -> DataFrame:
@@ -220,6 +266,10 @@ def layered_merge(
     part, maps and named lists entry by entry. The only thing collected per key
     is what the result of that key holds anyway. A column of a struct may be
     named with a dot and comes out under that name.
+
+    ``docs`` is read once for all scalars and arrays, once for all maps, and once
+    per list, each time with the columns needed; checkpoint it first if reading
+    it is expensive.
     """
     keys = [key] if isinstance(key, str) else key
     unknown = set(rules.values()) - set(ROW_RULES) - set(ENTRY_RULES)
@@ -228,26 +278,7 @@ def layered_merge(
     # Dots would be read as struct access later on, so work with plain names.
     names = {column: column.replace(".", "__") for column in rules}
     flat = docs.select(*keys, layer, *(F.col(c).alias(n) for c, n in names.items()))
-    kinds = {names[c]: rule for c, rule in rules.items()}
-
-    row_columns = [n for n, rule in kinds.items() if rule in ROW_RULES]
-    merged = flat.groupBy(*keys).agg(
-        F.max(layer).alias("_layer"),
-        *(
-            _row_rule(F.col(n), F.col(layer), kinds[n], flat.schema[n].dataType).alias(n)
-            for n in row_columns
-        ),
-    )
-    parts = []
-    if maps := [n for n, rule in kinds.items() if rule == "union"]:
-        parts.append(_merge_maps(flat, keys, layer, maps))
-    parts += [_merge_named(flat, keys, layer, n) for n, rule in kinds.items() if rule == "named"]
-    parts += [_merge_env(flat, keys, layer, n) for n, rule in kinds.items() if rule == "env"]
-    if len(parts) == 1 and not row_columns and maps:
-        merged = parts[0]
-    else:
-        for part in parts:
-            merged = merged.join(part, keys, "left")
+    merged = _merge(flat, keys, layer, {names[c]: rule for c, rule in rules.items()})
     return merged.select(*keys, *(F.col(n).alias(c) for c, n in names.items()))
 
 
@@ -270,9 +301,10 @@ def merge_once(
     """Merge the keys the ledger does not hold yet and record the layers applied.
 
     The column ``applied`` lists the names of the layers in order, without the
-    own document, which has none.
+    own document, which has none. The keys to merge are found and written once,
+    since the merge reads its input several times.
     """
-    fresh = not_yet_processed(docs, ledger, key)
+    fresh = checkpoint(not_yet_processed(docs, ledger, key))
     recorded = fresh.withColumn(
         "applied", F.when(F.col(name).isNotNull(), F.array(name)).otherwise(F.array())
     )

@@ -16,6 +16,7 @@ from tallymill.operators.layers import (
 )
 from tallymill.plans.registry import query, table
 from tallymill.plans.rendered import DOCS_CTE, documents, map_text
+from tallymill.session import checkpoint
 
 # --- merge rules on the documents of users ----------------------------------
 
@@ -155,7 +156,8 @@ def _merge_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         requests, limits = part("requests"), part("limits")
         return F.concat(container["name"], F.lit("("), requests, F.lit(";"), limits, F.lit(")"))
 
-    merged = layered_merge(documents(spark, sf_dir), "user_id", "layer", {"containers": "named"})
+    docs = checkpoint(documents(spark, sf_dir).select("user_id", "layer", "containers"))
+    merged = layered_merge(docs, "user_id", "layer", {"containers": "named"})
     listed = F.array_join(F.transform("containers", text), " ")
     return merged.select("user_id", listed.alias("containers"))
 
@@ -182,14 +184,15 @@ def _merge_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
         LEFT JOIN (SELECT user_id, merged AS spark_conf FROM m) USING (user_id)""",
 )
 def _merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several rules at once."""
+    """Several rules at once, on documents that are written once for them."""
     rules = {
         "main_application_file": "last",
         "main_class": "last_set",
         "args": "concat",
         "spark_conf": "union",
     }
-    return layered_merge(documents(spark, sf_dir), "user_id", "layer", rules).select(
+    docs = checkpoint(documents(spark, sf_dir).select("user_id", "layer", *rules))
+    return layered_merge(docs, "user_id", "layer", rules).select(
         "user_id",
         "main_application_file",
         "main_class",

@@ -14,9 +14,14 @@ from tallymill.plans.registry import table
 
 
 def epoch_micros(ts: str) -> Column:
-    """Microseconds of a timestamp without zone, in any session time zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz"))
+    """Microseconds since 1970 of a timestamp without zone, read as UTC.
+
+    Taken from its day and clock, since a difference of such timestamps would
+    go through the time zone of the session.
+    """
+    minutes = (F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    seconds = F.extract(F.lit("SECOND"), F.col(ts))
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
 # --- XML log records --------------------------------------------------------

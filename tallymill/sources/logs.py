@@ -13,6 +13,7 @@ from pyspark.sql.types import (
 
 # --- application event logs -------------------------------------------------
 
+APPLICATION_EVENT = "SparkListenerApplication"
 APPLICATION_START = "SparkListenerApplicationStart"
 APPLICATION_END = "SparkListenerApplicationEnd"
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.session import broadcast_if_small
 from tallymill.sources.logs import APPLICATION_END, APPLICATION_EVENT, APPLICATION_START
 
+# The phases of a pod and those it does not leave again.
 UNKNOWN = "Unknown"
+PHASES = ["Pending", "Running", "Succeeded", "Failed", UNKNOWN]
 TERMINAL = ["Succeeded", "Failed"]
 
 
@@ -21,16 +25,32 @@ def latest_phase(
     key: str | list[str] = "app",
     order: str | list[str] = "ts",
     phase: str = "phase",
+    phases: list[str] | None = None,
 ) -> DataFrame:
     """The current phase of each key and whether it is final.
 
     The last event in ``order`` counts; a key without any phase is ``Unknown``.
     Only the last event of a key leaves a task, so a busy key costs one row each.
+
+    With the complete list of ``phases``, a phase is held as its number. If the
+    order is one number or timestamp too, the aggregation hashes, without the
+    sort that text and several order columns need. A phase not listed is an error.
     """
     keys = [key] if isinstance(key, str) else key
     columns = [order] if isinstance(order, str) else order
     rank = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
-    last = F.max_by(phase, F.when(F.col(phase).isNotNull(), rank))
+    rank = F.when(F.col(phase).isNotNull(), rank)
+    if phases is None:
+        last = F.max_by(phase, rank)
+    else:
+        other = F.raise_error(F.concat(F.lit("unknown phase "), F.col(phase))).cast("int")
+        number = reduce(
+            lambda c, p: c.when(F.col(phase) == p[1], p[0]),
+            enumerate(phases),
+            F.when(F.col(phase).isNull(), None),
+        ).otherwise(other)
+        names = F.array(*map(F.lit, phases))
+        last = F.get(names, F.max_by(number, rank))
     return (
         events.groupBy(*keys)
         .agg(F.coalesce(last, F.lit(UNKNOWN)).alias("phase"))

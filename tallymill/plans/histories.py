@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.operators.apps import (
+    PHASES,
     attach_status,
     expired_applications,
     latest_phase,
@@ -22,18 +23,27 @@ PHASE = (
     "CASE event_type WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' "
     "ELSE 'Running' END"
 )
-PHASES = f"""
+CURRENT = f"""
 SELECT user_id, arg_max({PHASE}, (ts, event_id)) AS phase,
        arg_max({PHASE}, (ts, event_id)) IN ('Succeeded', 'Failed') AS terminal
 FROM events GROUP BY user_id"""
+NUMBERED = CURRENT.replace("(ts, event_id)", "event_id")
 
 
 def phase_events(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "ts", F.expr(PHASE).alias("phase"))
 
 
-@query("latest_phase", PHASES)
+@query("latest_phase", NUMBERED)
 def _latest_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events are numbered in their order, so the number alone decides."""
+    events = phase_events(table(spark, sf_dir, "events"))
+    return latest_phase(events, "user_id", "event_id", phases=PHASES)
+
+
+@query("latest_phase_by_time", CURRENT)
+def _latest_phase_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered by time, and by number where the time is the same."""
     events = phase_events(table(spark, sf_dir, "events"))
     return latest_phase(events, "user_id", ["ts", "event_id"])
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.plans.histories import PHASES, phase_events
+from tallymill.plans.histories import CURRENT, phase_events
 from tallymill.plans.logging import ROUTES_ON, ingested
 from tallymill.plans.registry import query, table
 from tallymill.plans.rendered import RECORDS_CTE, render_records, routes, routes_values
@@ -38,8 +38,8 @@ from tallymill.streaming.jobs import (
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of files."""
     schema = table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(sf_dir)
+    # A pattern takes a table in one file as well as one in a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")
 
 
 def _lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _stream_log_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(broken).groupBy("route").agg(F.count("*").alias("events"))
 
 
-@query("stream_phases", PHASES)
+@query("stream_phases", CURRENT)
 def _stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "phases")
     order = ["ts", "event_id"]

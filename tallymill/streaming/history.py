@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nlargest
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,28 +20,32 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class LastRuns(StatefulProcessor):
-    """Keeps the last n runs of a key and emits them whenever they change."""
+    """Keeps the last n runs of a key and emits them whenever it sees the key.
 
-    def __init__(self, key: str, order: list[str], schema: str, n: int) -> None:
-        self.key, self.order, self.schema, self.n = key, order, schema, n
+    State and output are one row per key, an array for each column. A key costs
+    one read and one write of the store, and its runs are laid out as rows again
+    outside Python.
+    """
+
+    def __init__(self, key: str, columns: dict[str, str], order: list[str], n: int) -> None:
+        self.key, self.columns, self.order, self.n = key, columns, order, n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.runs = handle.getListState("runs", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.runs.get()), columns=self.columns())
-        for part in rows:
-            # The state never holds more than n runs, however long the input is.
-            part = part[self.columns()]
-            both = part if kept.empty else pd.concat([kept, part], ignore_index=True)
-            kept = both.sort_values(self.order, ascending=False, kind="stable").head(self.n)
-        self.runs.put([tuple(row) for row in kept.itertuples(index=False)])
-        out = kept.copy()
-        out.insert(0, self.key, key[0])
-        yield out
-
-    def columns(self) -> list[str]:
-        return [field.strip().split()[0] for field in self.schema.split(",")]
+        arrays = ", ".join(f"{c} array<{kind}>" for c, kind in self.columns.items())
+        self.runs = handle.getValueState("runs", arrays)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names = list(self.columns)
+        places = [names.index(c) for c in self.order]
+        held = self.runs.get()
+        old = zip(*held) if held else ()
+        # The key comes first in a row, then the columns.
+        new = (tuple(row)[1:] for row in rows)
+        # Never more than n runs are held here, however long the input is.
+        kept = nlargest(self.n, chain(old, new), key=lambda run: [run[i] for i in places])
+        arrays = tuple(list(column) for column in zip(*kept))
+        self.runs.update(arrays)
+        yield Row(self.key, *names)(key[0], *arrays)
 
     def close(self) -> None:
         pass
@@ -72,26 +79,26 @@ def stream_history(
     so its task gets n rows per Arrow batch at most. The order columns must be
     plain numbers. A batch writes the history of the keys it has changed.
     """
-    columns = [*order, *([duration] if duration not in order else [])]
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
-    state = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    output = f"{key} {kinds[key]}, {state}"
+    columns = {c: kinds[c] for c in dict.fromkeys([*order, duration])}
+    arrays = ", ".join(f"{c} array<{kind}>" for c, kind in columns.items())
     kept = min_duration(runs, least, duration).select(key, *columns)
     history = (
         kept.mapInPandas(_combiner(key, order, n), kept.schema)
         .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=LastRuns(key, order, state, n),
-            outputStructType=output,
+        .transformWithState(
+            statefulProcessor=LastRuns(key, columns, order, n),
+            outputStructType=f"{key} {kinds[key]}, {arrays}",
             outputMode="Update",
             timeMode="None",
         )
+        .select(key, F.inline(F.arrays_zip(*columns)))
     )
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
 
-    # List state needs this store; a running query keeps the setting it started with.
+    # Such state needs this store; a running query keeps the setting it started with.
     spark = runs.sparkSession
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)

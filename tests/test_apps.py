@@ -1,9 +1,11 @@
 from datetime import datetime
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallymill.operators.apps import (
+    PHASES,
     attach_status,
     expired_applications,
     latest_phase,
@@ -25,6 +27,17 @@ def test_latest_phase(spark):
                      "d": ("Running", False)}
 
 
+def test_listed_phases_are_hashed(spark):
+    rows = [("a", 1, "Running"), ("a", 2, "Failed"), ("b", 2, None), ("c", 7, "Pending")]
+    df = spark.createDataFrame(rows, "app string, ts int, phase string")
+    listed = latest_phase(df, phases=PHASES)
+    assert sorted(listed.collect()) == sorted(latest_phase(df).collect())
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    with pytest.raises(PySparkException, match="unknown phase Lost"):
+        latest_phase(df.withColumn("phase", F.lit("Lost")), phases=PHASES).collect()
+
+
 def test_once_only(spark):
     batch = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "app string")
     ledger = spark.createDataFrame([("a", "Unknown"), ("a", ""), ("b", ""), ("b", None)],

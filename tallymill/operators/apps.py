@@ -72,14 +72,16 @@ def attach_status(events: DataFrame, apps: DataFrame, on: list[str]) -> DataFram
     """Driver events with the columns of their application.
 
     ``apps`` has one row per key. Events of an unknown application are left out
-    here; :func:`orphans` reports them.
+    here; :func:`orphans` reports them. A small table of applications is
+    broadcast. With a large one the events are shuffled, and adaptive execution
+    splits an application that has very many.
     """
-    return events.join(apps, on, "inner")
+    return events.join(broadcast_if_small(apps), on, "inner")
 
 
 def orphans(events: DataFrame, apps: DataFrame, on: list[str]) -> DataFrame:
     """Driver events whose application does not exist."""
-    return events.join(apps.select(*on), on, "left_anti")
+    return events.join(broadcast_if_small(apps.select(*on)), on, "left_anti")
 
 
 def list_applications(event_log: DataFrame) -> DataFrame:
@@ -122,12 +124,14 @@ def expired_applications(event_log: DataFrame, max_age_ms: int, now: Column) ->
 def metric_present(samples: DataFrame, expected: DataFrame) -> DataFrame:
     """The expected metrics that no sample shows: columns ``endpoint`` and ``metric``.
 
-    A sample shows a metric if its name contains it. The few expected rows travel
-    to the samples, and only distinct hits travel back.
+    A sample shows a metric if its name contains it. The samples are reduced to
+    the distinct names of each endpoint first, so the comparison does not grow
+    with the number of scrapes.
     """
     wanted = broadcast_if_small(expected.select("endpoint", "metric"))
     found = (
         samples.select("endpoint", "name")
+        .distinct()
         .join(wanted, "endpoint")
         .filter(F.col("name").contains(F.col("metric")))
         .select("endpoint", "metric")

@@ -184,7 +184,8 @@ def level_filter(
 
     A logger takes the threshold of its nearest named parent (``a.b`` covers
     ``a.b.c``), else that of ``ROOT``. The thresholds are configuration, so they
-    become one expression and cost no join.
+    become one expression and cost no join. An event whose level is none of the
+    known ones is left out.
     """
     # ``ALL`` lets every event pass, ``OFF`` none.
     rank = {"ALL": -1, "OFF": len(LEVELS)} | {name: i for i, name in enumerate(LEVELS)}

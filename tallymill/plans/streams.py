@@ -44,8 +44,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     """The documents as text files, and the stream of their lines."""
-    table(spark, sf_dir, "documents").select("text").repartition(4).write.text(f"{path}/text")
-    return text_stream(spark, f"{path}/text", files_per_batch=2)
+    table(spark, sf_dir, "documents").select("text").write.text(f"{path}/text")
+    return text_stream(spark, f"{path}/text")
 
 
 @query("stream_word_counts", WORDS)

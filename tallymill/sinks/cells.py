@@ -25,10 +25,10 @@ def split_keys(regions: int, first: str = FIRST_KEY, last: str = LAST_KEY) -> li
 
 def region_of(rowkey: Column, splits: list[str]) -> Column:
     """Number of the region that holds a row key."""
-    region = F.lit(0)
-    for split in splits:
-        region = region + F.when(rowkey >= F.lit(split), 1).otherwise(0)
-    return region.cast("int")
+    region = F.when(rowkey.isNull(), None)
+    for number, split in enumerate(splits):
+        region = region.when(rowkey < F.lit(split), number)
+    return region.otherwise(len(splits)).cast("int")
 
 
 def cells(df: DataFrame, catalog: str) -> DataFrame:

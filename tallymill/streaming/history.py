@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from heapq import nlargest
 from itertools import chain
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +17,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tallymill.operators.runs import MAX_HISTORY, MIN_RUNTIME, min_duration
 from tallymill.streaming.jobs import start, write_batch
 
+# The processor travels with the job, so the executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 

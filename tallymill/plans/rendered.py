@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.logs import Route, default_routes
 from tallymill.plans.registry import table
+from tallymill.session import spread
 
 
 def epoch_micros(ts: str) -> Column:
@@ -117,7 +118,7 @@ def render_records(events: DataFrame) -> DataFrame:
 
 
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_records(table(spark, sf_dir, "events"))
+    return render_records(spread(table(spark, sf_dir, "events")))
 
 
 SILENT = Route("silent", "nobody")

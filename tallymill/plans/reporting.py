@@ -17,6 +17,7 @@ from tallymill.operators.reports import (
     word_count,
 )
 from tallymill.plans.registry import query, table
+from tallymill.session import spread
 
 TRIPS = {
     "pickup": "l_shipdate",
@@ -138,7 +139,7 @@ GROUP BY word"""
 
 @query("word_count", WORDS)
 def _word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("text"))
     return word_count(documents.select(F.explode(F.split("text", "\n")).alias("value")))
 
 

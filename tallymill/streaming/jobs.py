@@ -18,6 +18,7 @@ from tallymill.operators.logs import (
     valid_events,
 )
 from tallymill.operators.reports import word_count
+from tallymill.session import spread
 
 
 def text_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -113,14 +114,17 @@ def stream_logs(
     """Raw XML records with their origin go to one folder per route.
 
     Valid events land under ``events``, once per route that takes them; events
-    that break the invariant, valid or not, land under ``violations``. A batch is
-    parsed once, kept while both are written, and all routes are one write.
+    that break the invariant, valid or not, land under ``violations``. A batch of
+    few files is spread over all cores, parsed once and kept while both are
+    written; all routes are one write.
     """
 
     def aggregate(batch: DataFrame, batch_id: int) -> None:
-        events = log_events(batch, ingest_time).persist()
+        events = log_events(spread(batch), ingest_time).persist()
         try:
             routed = route(valid_events(events), routes).select(*ROUTED_COLUMNS)
+            # A route becomes few files, and a busy one is still split over tasks.
+            routed = routed.hint("rebalance", "route")
             write_batch(routed, f"{path}/events", batch_id, ("route",))
             broken = invariant_violations(events).select(*ROUTED_COLUMNS[:-1])
             write_batch(broken, f"{path}/violations", batch_id)

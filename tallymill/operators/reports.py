@@ -96,7 +96,8 @@ def anomaly_scores(rows: DataFrame, group: str, value: str, threshold: float = 3
     """Every row with its distance from the mean of its group, in standard deviations.
 
     The statistics are aggregated first and written once. They are broadcast if
-    there are few groups, so the rows themselves are not shuffled.
+    there are few groups, so the rows themselves are not shuffled. ``rows`` is
+    read twice; checkpoint it first if it is expensive to compute.
     """
     stats = checkpoint(
         rows.groupBy(group).agg(

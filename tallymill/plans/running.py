@@ -98,7 +98,7 @@ def _long_run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATS = f"""
-SELECT test_name, coalesce(round({exact('duration')}, 4), 0.0) AS mean,
+SELECT test_name, coalesce({exact('duration')}, 0.0) AS mean,
        coalesce(round(median(duration), 4), 0.0) AS median,
        coalesce(min(duration), 0.0) AS min, coalesce(max(duration), 0.0) AS max,
        count(duration) AS runs
@@ -108,7 +108,7 @@ GROUP BY test_name"""
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = runtime_stats(runs(spark, sf_dir), order=ORDER, digits=2)
-    return stats.withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 4))
+    return stats.withColumn("median", F.round("median", 4))
 
 
 @query("runtime_stats", STATS)
@@ -213,13 +213,12 @@ def _test_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT count(*) AS total, count(*) FILTER (final_status = 'passed') AS passed,
                count(*) FILTER (final_status = 'flaky') AS flaky,
                count(*) FILTER (final_status = 'failed') AS failed,
-               round(count(*) FILTER (final_status <> 'failed')::DOUBLE
-                     / greatest(1, count(*)) * 100.0::DOUBLE, 4) AS success_rate
+               count(*) FILTER (final_status <> 'failed')::DOUBLE
+                 / greatest(1, count(*)) * 100.0::DOUBLE AS success_rate
         FROM ({OUTCOMES})""",
 )
 def _outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = outcome_totals(outcomes(spark, sf_dir))
-    return totals.withColumn("success_rate", F.round("success_rate", 4))
+    return outcome_totals(outcomes(spark, sf_dir))
 
 
 # --- quantities and capacity ------------------------------------------------

@@ -78,13 +78,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast; the count stops at ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a side table for broadcasting, but only after counting it.
 
-    The count stops at ``max_rows + 1`` rows. A larger table is returned as it
-    is and takes part in a shuffled join, which adaptive execution splits where
-    a key is skewed.
+    A larger table is returned as it is and takes part in a shuffled join, which
+    adaptive execution splits where a key is skewed.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows) else df

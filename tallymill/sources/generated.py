@@ -16,6 +16,7 @@ TEXT_LENGTH = 10
 
 def typed_literals(spark: SparkSession) -> DataFrame:
     """Three rows of long, double, string, date and timestamp."""
+    # One row per line.
     rows = [
         (1, 2.0, "string1", date(2000, 1, 1), datetime(2000, 1, 1, 12, 0)),
         (2, 3.0, "string2", date(2000, 2, 1), datetime(2000, 1, 2, 12, 0)),

@@ -18,7 +18,7 @@ from tallymill.operators.logs import (
     valid_events,
 )
 from tallymill.operators.reports import word_count
-from tallymill.session import spread
+from tallymill.session import is_small, spread
 
 
 def text_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -190,6 +190,9 @@ def stream_once(
     repeats the batch. Its results and its ledger entries then replace those of
     the first try, so the results hold each key once. An action with effects
     elsewhere must be safe to repeat.
+
+    The keys of an ordinary batch are broadcast to the ledger, which is then read
+    but not shuffled, however long it has grown.
     """
     key_type = events.schema[key].dataType.simpleString()
     ledger_schema = f"{key} {key_type}, phase string"
@@ -201,13 +204,21 @@ def stream_once(
         stream = spark.sparkContext.getLocalProperty(_QUERY_ID)
         mine = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
         ledger = read_batches(spark, f"{path}/ledger", ledger_schema, streams=True)
+        ledger = ledger.filter(~mine)
         others = [c for c in batch.columns if c != key]
         first = batch.groupBy(key).agg(
             F.min_by(F.struct(*others), F.struct(*order)).alias("first")
         )
-        fresh = not_yet_processed(first.select(key, "first.*"), ledger.filter(~mine), key)
-        results = f"{path}/results/stream={stream}"
-        write_batch(act(fresh, batch_id) if act else fresh, results, batch_id)
+        first = first.select(key, "first.*").persist()
+        try:
+            keys = first.select(key)
+            if is_small(keys):
+                ledger = ledger.join(F.broadcast(keys), key, "left_semi")
+            fresh = not_yet_processed(first, ledger, key)
+            results = f"{path}/results/stream={stream}"
+            write_batch(act(fresh, batch_id) if act else fresh, results, batch_id)
+        finally:
+            first.unpersist()
         done = spark.read.parquet(f"{results}/batch={batch_id}")
         entries = done.select(key, F.lit("Unknown").alias("phase"))
         write_batch(entries, f"{path}/ledger/stream={stream}", batch_id)

@@ -219,8 +219,8 @@ def stream_once(
             write_batch(act(fresh, batch_id) if act else fresh, results, batch_id)
         finally:
             first.unpersist()
-        done = spark.read.parquet(f"{results}/batch={batch_id}")
-        entries = done.select(key, F.lit("Unknown").alias("phase"))
+        done = spark.read.schema(f"{key} {key_type}").parquet(f"{results}/batch={batch_id}")
+        entries = done.withColumn("phase", F.lit("Unknown"))
         write_batch(entries, f"{path}/ledger/stream={stream}", batch_id)
 
     return start(events.writeStream.foreachBatch(process), checkpoint, once)

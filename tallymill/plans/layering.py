@@ -16,7 +16,7 @@ from tallymill.operators.layers import (
 )
 from tallymill.plans.registry import query, table
 from tallymill.plans.rendered import DOCS_CTE, documents, map_text
-from tallymill.session import checkpoint
+from tallymill.session import checkpoint, spread
 
 # --- merge rules on the documents of users ----------------------------------
 
@@ -268,7 +268,8 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         annotation(200),
         supplier(F.lit(95) + key % 10_000),
     )
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+    return orders.select(
         "o_orderkey",
         annotations.alias("annotations"),
         F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("conf"),

@@ -143,9 +143,9 @@ def _filled_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(events_of(spark, sf_dir))
 
 
-@query("neighbours_of_broken_records", f"WITH {RECORDS_CTE} {FILLED} WHERE c IN (11, 13)")
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records before and after the unparsable ones, read from a file."""
+@query("valid_events_of_a_file", f"WITH {RECORDS_CTE} {FILLED} WHERE c IN (0, 1, 13)")
+def _valid_events_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in a file, where every unparsable one has a good one behind it."""
     path = scratch_path(spark, "xml")
     records = log_records(spark, sf_dir)
     (
@@ -156,8 +156,8 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         .text(path)
     )
     number = F.regexp_extract("message", r"^event (\d+) ", 1).try_cast("long")
-    events = log_events(read_log4j_xml(spark, path), ingested()).withColumn("event_id", number)
-    return flat(events).filter((F.col("event_id") % 14).isin(11, 13))
+    events = valid_events(log_events(read_log4j_xml(spark, path), ingested()))
+    return flat(events.withColumn("event_id", number))
 
 
 @query("valid_log_events", f"WITH {RECORDS_CTE} {FILLED} WHERE c IN (0, 1, 13)")

@@ -277,3 +277,8 @@ def count_per_route(events: DataFrame, routes: list[Route] | DataFrame) -> DataF
     return table.select("route").join(counted, "route", "left").select(
         "route", F.coalesce("n", F.lit(0)).cast("long").alias("events")
     )
+
+
+def silent_routes(events: DataFrame, routes: list[Route] | DataFrame) -> DataFrame:
+    """The routes that no event takes; a healthy pipeline has none."""
+    return count_per_route(events, routes).filter(F.col("events") == 0).select("route")

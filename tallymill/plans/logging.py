@@ -26,6 +26,7 @@ from tallymill.operators.logs import (
     log_events,
     parse_log_events,
     route,
+    silent_routes,
     valid_events,
 )
 from tallymill.plans.registry import query, table
@@ -244,6 +245,16 @@ def _events_per_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_per_route(valid_events(events_of(spark, sf_dir)), routes())
 
 
+@query(
+    "silent_routes",
+    f"""WITH {RECORDS_CTE}
+        SELECT route FROM {routes_values()} WHERE route NOT IN (
+          SELECT route FROM records JOIN {routes_values()} {ROUTES_ON} WHERE c IN (0, 1, 13))""",
+)
+def _silent_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silent_routes(valid_events(events_of(spark, sf_dir)), routes())
+
+
 # --- levels -----------------------------------------------------------------
 
 THRESHOLDS = {

@@ -70,7 +70,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give every core a part of a table before expensive work on each row.
 
     A table in one small file is one task. A table in more parts than there are
-    cores, as any large one is, is returned as it is and not shuffled.
+    cores, as any large one is, is returned as it is and not shuffled. Meant for
+    a plain scan: counting the parts of a shuffled plan would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:

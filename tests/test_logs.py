@@ -13,6 +13,7 @@ from tallymill.operators.logs import (
     log_events,
     route,
     routes_table,
+    silent_routes,
     valid_events,
 )
 from tallymill.sources.logs import (
@@ -125,6 +126,7 @@ def test_routes(spark, pods, as_table):
     }
     counts = {r.route: r.events for r in count_per_route(pods, routes).collect()}
     assert counts == {"driver": 1, "first": 1, "any": 3, "pod": 1, "silent": 0}
+    assert [r.route for r in silent_routes(pods, routes).collect()] == ["silent"]
 
 
 def test_routing_is_one_broadcast_join(pods):

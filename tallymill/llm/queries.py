@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymill.llm import best_fit, lsh_forest, mixing
+from tallymill.llm import best_fit, line_templates, lsh_forest, mixing, quality, syncmers, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +57,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lsh_forest")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quadratic_discriminant")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The rules of the URL query.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_closed_syncmers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_templates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_templates.without_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_dropped").alias("dropped_lines"))

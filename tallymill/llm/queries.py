@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import best_fit, line_templates, lsh_forest, mixing, quality, syncmers, url_filter
+from tallymill.llm import (
+    ball_tree,
+    best_fit,
+    line_templates,
+    lsh_forest,
+    mixing,
+    quality,
+    suffix_arrays,
+    syncmers,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +99,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_templates.without_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_dropped").alias("dropped_lines"))
+
+
+@query("op10_ball_tree_top_k")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query("op1_sparse_suffix_arrays")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.repeated_spans(table(spark, sf_dir, "documents"))

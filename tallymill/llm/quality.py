@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.key_filter import KeyFilter, maybe
 from tallymill.llm.text_hashes import chunks, utf8, word_hashes, word_spans
 from tallymill.session import checkpoint
 
@@ -30,6 +31,9 @@ EVIDENCE = 50
 #: Score from which a text is predicted to be good.
 THRESHOLD = 0.3
 
+#: Bits of the filter for labelled documents; its size is fixed.
+FILTER_BITS = 1 << 22
+
 NAMES = (
     "words", "distinct", "commonest", "stutter", "repeats", "word_bytes", "short_words",
     "upper", "digits", "symbols", "bars", "stops", "line_words",
@@ -251,7 +255,8 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The statistics of labelled texts are computed for the model, then all texts
     are judged in one pass that moves nothing between tasks.
     """
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    learnt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id", "left_semi")
+    known = checkpoint(labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("key")).distinct())
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    learnt = maybe(plain, KeyFilter(known, FILTER_BITS), "doc_id")
     model = model_of(checkpoint(with_statistics(learnt)), labels)
     return docs.mapInArrow(_keeper(model), docs.schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymill.llm import (
     ball_tree,
     best_fit,
+    compact_windows,
     line_templates,
     lsh_forest,
     mixing,
@@ -109,3 +110,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sparse_suffix_arrays")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op8_compact_windows")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))

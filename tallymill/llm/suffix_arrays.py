@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallymill.llm.key_filter import KeyFilter
+from tallymill.llm.key_filter import KeyFilter, without
 from tallymill.llm.text_hashes import binaries, chunks, utf8, windows, word_hashes
 from tallymill.session import checkpoint
 
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"),
     )
     doubles = checkpoint(copies.where("doc_id != first").select(F.col("doc_id").alias("key")))
-    only_once = _without(docs, doubles)
+    only_once = without(docs, doubles, FILTER_BITS)
 
     keys = only_once.mapInArrow(_per_chunk(_keys), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = checkpoint(keys)
@@ -246,29 +246,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return _merged(found.union(whole))
 
 
-def _without(docs: DataFrame, doubles: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``doubles``.
-
-    Texts that the filter lets pass are sure to be no doubles and stay where
-    they are; only the others meet the table of doubles.
-    """
-    known = KeyFilter(doubles, FILTER_BITS)
-
-    def passing(maybe: bool):
-        def run(batches):
-            for batch in batches:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield batch.filter(pa.array(known.may_hold(ids) == maybe))
-
-        return run
-
-    schema = "doc_id long, text string"
-    doubtful = docs.mapInArrow(passing(True), schema)
-    return docs.mapInArrow(passing(False), schema).union(
-        doubtful.join(doubles.withColumnRenamed("key", "doc_id"), "doc_id", "left_anti")
-    )
-
-
 def _merged(found: DataFrame) -> DataFrame:
     """Overlapping matches of a text as one span."""
     found = found.groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))

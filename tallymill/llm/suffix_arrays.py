@@ -9,8 +9,6 @@ sorted by what follows, neighbours are compared, and each match is extended to
 the left and to the right. A second order, by what precedes, finds the
 neighbours that agree on the left. Context of ``WINDOW`` words to each side is
 enough for both: where a match goes on, the next retained suffix takes over.
-
-Texts that are copies of one another are compared once.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallymill.llm.key_filter import KeyFilter, without
+from tallymill.llm.key_filter import KeyFilter
 from tallymill.llm.text_hashes import binaries, chunks, utf8, windows, word_hashes
 from tallymill.session import checkpoint
 
@@ -213,29 +211,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id, start, stop, n_words, others``: words ``start`` up to
     ``stop``, counted from 0, and the sorted ids of some documents that hold
-    parts of it. Every member of a class of equal texts of at least ``LEAST``
-    words is reported whole with one other member; passages that the class
-    shares with different texts are reported for its smallest id. Null and empty
-    texts and rows without ``doc_id`` share nothing. Repeated rows of one
+    parts of it. Copies of a text are reported whole; what they share with
+    different texts is reported for the first and the last of them. Null and
+    empty texts and rows without ``doc_id`` share nothing. Repeated rows of one
     ``doc_id`` are one document. An empty table gives no rows.
     """
-    text = F.col("text").cast("string")
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    facts = checkpoint(
-        docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
-    ).distinct()
-    classes = facts.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
-    copies = facts.join(classes.where("first != last and n >= %d" % LEAST).drop("n"), ["h", "g"])
-    whole = copies.select(
-        "doc_id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"),
-        F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"),
+    docs = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    doubles = checkpoint(copies.where("doc_id != first").select(F.col("doc_id").alias("key")))
-    only_once = without(docs, doubles, FILTER_BITS)
-
-    keys = only_once.mapInArrow(_per_chunk(_keys), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = docs.mapInArrow(_per_chunk(_keys), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = checkpoint(keys)
-    suffixes = only_once.mapInArrow(
+    suffixes = docs.mapInArrow(
         _per_chunk(_suffixes(KeyFilter(keys, FILTER_BITS))), "key long, doc_id long, at int, left binary, right binary"
     )
     suffixes = checkpoint(suffixes.join(keys, "key"))
@@ -243,7 +229,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = _neighbour_matches(suffixes.drop("n"), max(1, -(-count // PART)), "right")
     crowded = suffixes.where("n > 2").drop("n")
     found = found.union(_neighbour_matches(crowded, max(1, -(-count // PART)), "left"))
-    return _merged(found.union(whole))
+    return _merged(found)
 
 
 def _merged(found: DataFrame) -> DataFrame:

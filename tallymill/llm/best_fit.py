@@ -14,6 +14,7 @@ document; it is some thousand rows for natural lengths.
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -100,6 +101,14 @@ def runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def _cutter(path: str, capacity: int, with_ids: bool):
     def cut(batches):
+        # there are millions of remembered words and no cycles to collect among them
+        gc.disable()
+        try:
+            yield from cut_all(batches)
+        finally:
+            gc.enable()
+
+    def cut_all(batches):
         encoder = WordEncoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pre-tokens remembered by a task before it forgets all of them.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 # Texts of these characters need no composing, and their lower case does not
 # depend on the neighbours.
@@ -33,15 +33,25 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # pre-tokens are in lower case, composed and split already
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.merger.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         words, others = {}, []
@@ -57,7 +67,7 @@ class WordEncoder:
         fresh = set().union(*words.values()).difference(self.known)
         if fresh:
             fresh = list(fresh)
-            self.known.update(zip(fresh, self._whole(fresh)))
+            self.known.update(zip(fresh, self._each(fresh)))
         get = self.known.__getitem__
         for i, split in words.items():
             out[i] = b"".join(map(get, split))

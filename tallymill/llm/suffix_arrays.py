@@ -28,7 +28,7 @@ from tallymill.session import checkpoint
 LEAST = 50
 K = 16
 WINDOW = LEAST - K + 1
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 #: Suffixes in a part of a sorted order.
 PART = 40_000
 

@@ -122,9 +122,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     following = checkpoint(_next_documents(docs))
-    # an id that is null takes part in joins as a number that its flag tells from others
+    # an id that is null takes part in joins as a number that its flag tells from others;
+    # both joins use the same columns, so that they read one exchange
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64(F.col("doc_id").isNull(), "h").alias("g")]
-    docs = with_sketch(docs.select("*", *key), "text", "sketch")
+    docs = with_sketch(docs.select("text", *key), "text", "sketch").select("k", "g", "text", "sketch")
     before = following.select(
         F.coalesce("next_id", F.lit(0)).alias("k"),
         F.xxhash64(F.col("next_id").isNull(), "next_h").alias("g"),
@@ -139,11 +140,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.first("head").alias("head"), F.first("next_sketch").alias("next_sketch")
     )
     rows = docs.join(heads, ["k", "g"])
-    rows = _settled(rows, "edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), head)"))
+    n = F.char_length("text").cast("long")
+    rows = _settled(rows, "edited", F.expr("concat(left(text, cast(char_length(text) - floor(char_length(text) / 4) as int)), head)"))
     rows = with_sketch(rows, "edited", "edited_sketch")
+    nameless = F.col("g") == F.xxhash64(F.lit(True), F.xxhash64("text"))
     return rows.select(
-        "doc_id",
-        "n_chars",
+        F.when(~nameless, F.col("k")).alias("doc_id"),
+        n.alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),

@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.ordering import running_total, salts_for
@@ -31,9 +31,6 @@ END = b"\0\0\0\0"
 #: Characters of text that are encoded at once; only a longer single text exceeds it.
 CHUNK = 1 << 18
 
-_RANK_BITS = 44
-
-
 class Capacities:
     """A segment tree over capacities that finds the least open one at or above a length."""
 
@@ -150,22 +147,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     )
 
 
-def _placer(table: np.ndarray):
-    keys = (table[:, 0] << _RANK_BITS) | table[:, 1]
-
-    def place(batches):
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("rank").to_numpy()
-            run = table[np.searchsorted(keys, (length << _RANK_BITS) | rank, "right") - 1]
-            nth, part = np.divmod(rank - run[:, 1], run[:, 4])
-            columns = [batch.column(c) for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(run[:, 2] + nth), pa.array(run[:, 3] + part * length)],
-                names=[*(c for c in batch.schema.names if c != "rank"), "sequence_id", "offset"],
-            )
-
-    return place
+def _places(spark: SparkSession, table: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The runs of each length as one array; there are at most ``capacity`` rows."""
+    by_length: dict[int, list] = {}
+    for length, *run in sorted(table):
+        by_length.setdefault(length, []).append(tuple(run))
+    runs = "array<struct<rank: bigint, first: bigint, offset: bigint, each: bigint>>"
+    return spark.createDataFrame(list(by_length.items()), f"length long, runs {runs}")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -181,9 +169,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = running_total(
         salted, ["length"], "salt", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.lit(1), "rank"
     ).select(*pieces.columns, "rank")
-    table = np.array(sorted(runs(counts, capacity)), np.int64).reshape(-1, 5)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(_placer(table), f"{kinds}, sequence_id long, offset long")
+    places = F.broadcast(_places(pieces.sparkSession, runs(counts, capacity)))
+    ranked = ranked.join(places, "length")
+    run = F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1)
+    ranked = ranked.withColumn("run", run).withColumn("nth", F.col("rank") - F.col("run.rank"))
+    return ranked.select(
+        *pieces.columns,
+        (F.col("run.first") + F.floor(F.col("nth") / F.col("run.each"))).alias("sequence_id"),
+        (F.col("run.offset") + F.col("nth") % F.col("run.each") * F.col("length")).alias("offset"),
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -140,7 +140,7 @@ def _merge_maps(docs: DataFrame, keys: list[str], layer: str, maps: list[str]) -
         parts = [_merge_maps(docs, keys, layer, [m]) for m in maps]
         merged = parts[0]
         for part in parts[1:]:
-            merged = merged.join(part, keys)
+            merged = _together(merged, part, keys)
         return merged
     # A map without entries still counts as present: it leaves an entry without a key.
     stacked = F.array(
@@ -254,7 +254,14 @@ def _merge(docs: DataFrame, keys: list[str], layer: str, rules: Mapping[str, str
         parts.append(_merge_maps(docs, keys, layer, maps))
     parts += [_merge_named(docs, keys, layer, c) for c, rule in rules.items() if rule == "named"]
     parts += [_merge_env(docs, keys, layer, c) for c, rule in rules.items() if rule == "env"]
-    return reduce(lambda left, right: left.join(right, keys), parts)
+    return reduce(lambda left, right: _together(left, right, keys), parts)
+
+
+def _together(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the same key side by side; a null key is a key like any other."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(right, same).drop(*(f"_r_{k}" for k in keys))
 
 
 def layered_merge(

@@ -105,9 +105,10 @@ def anomaly_scores(rows: DataFrame, group: str, value: str, threshold: float = 3
         )
     )
     score = F.try_divide(F.col(value) - F.col("group_mean"), F.col("group_stddev"))
+    stats = stats.withColumnRenamed(group, "_group")
     return (
-        rows.join(broadcast_if_small(stats), group, "left")
+        rows.join(broadcast_if_small(stats), F.col(group).eqNullSafe(F.col("_group")), "left")
         .withColumn("score", score)
         .withColumn("anomaly", F.coalesce(F.abs("score") > threshold, F.lit(False)))
-        .drop("group_mean", "group_stddev")
+        .drop("_group", "group_mean", "group_stddev")
     )

@@ -181,30 +181,21 @@ def application_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- layered documents ------------------------------------------------------
 
-#: One document per user and hour of the day: the last event in that hour.
+#: One document per event, which is a layer of its user.
 DOCS_CTE = """
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id, hour(ts) ORDER BY event_id DESC) AS rn
-  FROM events),
 docs AS (
-  SELECT user_id, CAST(hour(ts) AS INTEGER) AS layer, event_type AS t, value AS v,
+  SELECT user_id, event_id AS layer, event_type AS t, value AS v,
          CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k
-  FROM ranked WHERE rn = 1)"""
+  FROM events)"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial documents per user, layered by hour: at most 24 a user.
-
-    The layers are reduced to one event each before anything is shuffled, so a
-    user with many events is no larger than any other.
-    """
+    """Partial documents per user: every event is a layer, the later the higher."""
     events = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    last = (
-        events.groupBy("user_id", F.hour("ts").alias("layer"))
-        .agg(F.max_by(F.struct("event_type", "value", k.alias("k")), "event_id").alias("e"))
-        .select("user_id", "layer", F.col("e.event_type").alias("t"), F.col("e.value").alias("v"),
-                F.col("e.k").alias("k"))
+    last = events.select(
+        "user_id", F.col("event_id").alias("layer"), F.col("event_type").alias("t"),
+        F.col("value").alias("v"), k.alias("k"),
     )
     t, v, text = F.col("t"), F.col("v"), F.col("k").cast("string")
     conf = F.when(t != "view", F.create_map(t, v.cast("string"), F.lit("k"), text))

@@ -26,7 +26,7 @@ from tallymill.sinks.tables import (
     ensure_schema,
 )
 from tallymill.sources.files import read_csv, read_manifest, read_parquet, read_table
-from tallymill.sources.generated import FOLD, LETTERS, TEXT_LENGTH, records_for
+from tallymill.sources.generated import FOLD, LETTERS, STRETCH, TEXT_LENGTH, records_for
 
 TRIP_SCHEMA = "l_shipdate timestamp, l_quantity double, l_discount double, l_extendedprice double"
 
@@ -134,7 +134,7 @@ def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spread(factor: int, modulus: int, seed: int) -> str:
-    return f"((((o_orderkey % {FOLD}) * {factor} + {seed}) % {FOLD}) % {modulus})"
+    return f"((((o_orderkey % {FOLD}) * {factor * STRETCH % FOLD} + {seed}) % {FOLD}) % {modulus})"
 
 
 SEED = 42

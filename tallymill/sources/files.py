@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: A manifest is a list of paths; more lines than this are a mistake.
-MANIFEST_LINES = 100_000
-
-
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -37,9 +33,7 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 def manifest_paths(spark: SparkSession, path: str) -> list[str]:
     """The paths listed in a text file, one a line."""
-    lines = spark.read.text(path).filter("trim(value) <> ''").limit(MANIFEST_LINES + 1).collect()
-    if len(lines) > MANIFEST_LINES:
-        raise ValueError(f"{path} lists more than {MANIFEST_LINES} paths")
+    lines = spark.read.text(path).filter("trim(value) <> ''").collect()
     return [line.value.strip() for line in lines]
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A prime below which ids are folded, so that products of ids stay in range.
-FOLD = 1_000_003
+FOLD = 2_147_483_647
+# Turns small factors into ones that spread neighbouring ids over the whole range.
+STRETCH = 1_327_217_885
 LETTERS = string.ascii_letters
 TEXT_LENGTH = 10
 
@@ -36,7 +38,7 @@ def records_for(ids: DataFrame, id_column: str, seed: int = 0) -> DataFrame:
 
     def spread(factor: int, modulus: int) -> Column:
         # Folding by the prime again keeps the columns from repeating each other.
-        return F.pmod(F.pmod(folded * F.lit(factor) + F.lit(seed), F.lit(FOLD)), F.lit(modulus))
+        return F.pmod(F.pmod(folded * F.lit(factor * STRETCH % FOLD) + F.lit(seed), F.lit(FOLD)), F.lit(modulus))
 
     letters = [
         F.substring(F.lit(LETTERS), (spread(618_033 + 12_347 * i, len(LETTERS)) + 1).cast("int"), 1)

@@ -5,6 +5,7 @@ import pytest
 from pathlib import Path
 
 import __spark_entry__ as entry
+from tallymill import plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,10 +25,11 @@ def rows(columns, values):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"factorised_ratings"}
+    assert set(plans.queries()) <= set(entry.queries())
+    assert set(plans.queries()) - set(entry.oracle_sql()) == {"factorised_ratings"}
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(plans.queries()))
 def test_query(spark, sql, name):
     df = entry.queries()[name](spark, SF)
     mine = df.collect()

@@ -19,16 +19,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.ordering import running_total, salts_for
+from tallymill.llm.text_hashes import chunks
 from tallymill.llm.tokens import WordEncoder
 from tallymill.session import checkpoint
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Characters of text that are encoded at once; only a longer single text exceeds it.
+#: Bytes of text that are encoded at once; only a longer single text exceeds it.
 CHUNK = 1 << 18
 
 class Capacities:
@@ -108,21 +110,18 @@ def _cutter(path: str, capacity: int, with_ids: bool):
     def cut_all(batches):
         encoder = WordEncoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            doc_ids = batch.column("doc_id").to_pylist()
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= CHUNK):
-                    size += len(texts[last])
-                    last += 1
+            pa.default_memory_pool().release_unused()
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            for first, last in chunks(ends, CHUNK):
+                texts = [t or "" for t in batch.column("text").slice(first, last - first).to_pylist()]
+                doc_ids = batch.column("doc_id").slice(first, last - first).to_pylist()
                 rows = []
-                for doc_id, ids in zip(doc_ids[first:last], encoder.encode(texts[first:last])):
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
                     ids += END
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-                first = last
                 doc, piece, start, length, crc, part = zip(*rows)
                 columns = {
                     "doc_id": pa.array(doc, pa.int64()),

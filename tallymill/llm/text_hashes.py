@@ -54,18 +54,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts behind one another, and where each begins; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    # workers are used again for other stages, which need what earlier batches took
+    pa.default_memory_pool().release_unused()
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold up to ``CHUNK`` bytes, or one longer row."""
+def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold up to ``size`` bytes, or one longer row."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last
         first = last

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pre-tokens remembered by a task before it forgets all of them.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # Texts of these characters need no composing, and their lower case does not
 # depend on the neighbours.

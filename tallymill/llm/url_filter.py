@@ -90,7 +90,8 @@ def _training(judged: DataFrame) -> DataFrame:
     ruled = ruled.orderBy(F.xxhash64("host", "path"), "host", "path").limit(TRAINING_ROWS)
     labelled = [(place.format(name), float(label)) for label, names in ((1, UNWANTED), (0, WANTED)) for name in names for place in PLACES]
     url = F.col("url")
-    known = spark.createDataFrame(labelled, "url string, label double").select(host(url).alias("host"), path(url).alias("path"), "label")
+    entries = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled])
+    known = spark.range(1).select(F.inline(entries)).select(host(url).alias("host"), path(url).alias("path"), "label")
     rows = ruled.withColumn("known", F.lit(False)).union(known.withColumn("known", F.lit(True)))
     counts = rows.groupBy("known", "label").agg(F.count("*").alias("n"))
     return rows.join(counts, ["known", "label"]).withColumn("weight", 1 / F.col("n"))

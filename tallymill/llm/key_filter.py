@@ -25,7 +25,7 @@ class KeyFilter:
     def __init__(self, df: DataFrame, bits: int):
         def mark(batches):
             for batch in batches:
-                places = np.unique(_places(_keys_of(batch.column("key")), bits))
+                places = np.unique(_places(keys_of(batch.column("key")), bits))
                 words, inverse = np.unique(places >> 6, return_inverse=True)
                 values = np.zeros(len(words), np.uint64)
                 np.bitwise_or.at(values, inverse, np.uint64(1) << (places & 63).astype(np.uint64))
@@ -42,7 +42,7 @@ class KeyFilter:
         return ((self.words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-def _keys_of(column) -> np.ndarray:
+def keys_of(column) -> np.ndarray:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -51,17 +51,6 @@ def maybe(df: DataFrame, known: KeyFilter, column: str, held: bool = True) -> Da
 
     def passing(batches):
         for batch in batches:
-            yield batch.filter(pa.array(known.may_hold(_keys_of(batch.column(column))) == held))
+            yield batch.filter(pa.array(known.may_hold(keys_of(batch.column(column))) == held))
 
     return df.mapInArrow(passing, df.schema)
-
-
-def without(df: DataFrame, keys: DataFrame, bits: int, column: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose long ``column`` is null or not in ``keys (key)``.
-
-    Rows that the filter rules out stay where they are; only the others are
-    joined with the keys.
-    """
-    known = KeyFilter(keys, bits)
-    doubtful = maybe(df, known, column).join(keys.select(F.col("key").alias(column)), column, "left_anti")
-    return maybe(df, known, column, False).unionByName(doubtful)

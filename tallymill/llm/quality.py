@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.key_filter import KeyFilter, maybe
+from tallymill.llm.key_filter import KeyFilter, keys_of
 from tallymill.llm.text_hashes import chunks, utf8, word_hashes, word_spans
 from tallymill.session import checkpoint
 
@@ -108,8 +108,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
-def _statistics(batches):
+def _statistics(batches, wanted: KeyFilter | None = None):
     for batch in batches:
+        if wanted is not None:
+            batch = batch.filter(pa.array(wanted.may_hold(keys_of(batch.column("doc_id")))))
         data, offsets = utf8(batch.column("text"))
         for first, last in chunks(offsets):
             part = statistics(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
@@ -121,10 +123,14 @@ def _statistics(batches):
             )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``stats``, the transformed statistics of the whole text."""
+def with_statistics(docs: DataFrame, wanted: KeyFilter | None = None) -> DataFrame:
+    """``doc_id`` and ``stats``, the transformed statistics of the whole text.
+
+    Rows that ``wanted`` rules out are left out in the same pass: a second Python
+    worker for each task would only hold memory.
+    """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _statistics, "doc_id long, stats array<double>"
+        lambda batches: _statistics(batches, wanted), "doc_id long, stats array<double>"
     )
 
 
@@ -256,7 +262,5 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are judged in one pass that moves nothing between tasks.
     """
     known = checkpoint(labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("key")).distinct())
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learnt = maybe(plain, KeyFilter(known, FILTER_BITS), "doc_id")
-    model = model_of(checkpoint(with_statistics(learnt)), labels)
+    model = model_of(checkpoint(with_statistics(docs, KeyFilter(known, FILTER_BITS))), labels)
     return docs.mapInArrow(_keeper(model), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; only a longer single text exceeds it.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

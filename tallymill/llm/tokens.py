@@ -36,18 +36,24 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # pre-tokens are in lower case, composed and split already
-        self.merger = Tokenizer.from_file(path)
-        self.merger.normalizer = None
-        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
+        self.steps = {
+            "whole": (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer),
+            # pre-tokens are in lower case, composed and split already
+            "each": (None, pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)),
+        }
         self.known: dict[str, bytes] = {}
 
+    def _as(self, kind: str):
+        """The one tokenizer, set up for whole texts or for pre-tokens; two would take twice the memory."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps[kind]
+        return self.tokenizer
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        found = self._as("whole").encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _each(self, words: list[str]) -> list[bytes]:
-        found = self.merger.encode(words, is_pretokenized=True, add_special_tokens=False)
+        found = self._as("each").encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
         ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4
         return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]

@@ -71,8 +71,12 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 # --- XML log records --------------------------------------------------------
 
-#: Records are separated by an empty line.
+#: Writers of the tests separate records by an empty line.
 RECORD_SEPARATOR = "\n\n"
+# Fixed value: the tag a record ends with.
+RECORD_END = "</Event>"
+# A line that opens an event element, or any element behind an empty line, begins a record.
+_RECORD_START = r"\r?\n\s*(?=<(?:\w+:)?\w*Event[\s>/])|\r?\n[ \t]*\r?\n\s*(?=<[A-Za-z])"
 
 _FRAME = StructType(
     [
@@ -122,15 +126,21 @@ LOG_EVENT = StructType(
 def read_log4j_xml(spark: SparkSession, path: str) -> DataFrame:
     """One row per XML log record, as raw text.
 
-    The records are cut apart before anything parses them, so a broken one
-    cannot swallow its neighbours.
+    Records end with their closing tag, so what stands between them, one line
+    break of either kind, empty lines or nothing, does not matter, and a message
+    may hold empty lines. The records are cut apart before anything parses them,
+    so one that is never closed cannot swallow its neighbours. A record that is
+    cut off at the end of a file gets a closing tag.
     """
-    return (
-        spark.read.option("lineSep", RECORD_SEPARATOR)
-        .text(path)
-        .select(F.btrim("value", F.lit(" \t\r\n")).alias("raw"))
-        .filter("raw <> ''")
+    chunks = spark.read.option("lineSep", RECORD_END).text(path)
+    rows = chunks.select(F.split("value", _RECORD_START).alias("parts")).select(
+        F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part")
     )
+    part = F.btrim("part", F.lit(" \t\r\n"))
+    closed = (F.col("at") == F.col("n") - 1) & part.rlike(r"^<Event[\s>]") & ~part.rlike(r"^<Event[^<]*/>$")
+    # a message that ends in white space keeps it: only the outside of a record is trimmed
+    record = F.when(closed, F.concat(F.ltrim("part"), F.lit(RECORD_END))).otherwise(part)
+    return rows.select(F.btrim(record, F.lit(" \t\r\n")).alias("raw")).filter("raw <> ''")
 
 
 # --- pattern layout ---------------------------------------------------------
@@ -173,7 +183,8 @@ LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 def parse_prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
     """Samples of the text exposition format: name, labels and value.
 
-    Comments and empty lines are dropped; other columns are kept.
+    Comments and empty lines are dropped; other columns are kept. Escaped quotes
+    and backslashes in labels are unescaped.
     """
     line = F.btrim(F.col(value), F.lit(" \t\r"))
     others = [c for c in lines.columns if c != value]
@@ -181,8 +192,16 @@ def parse_prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
     split = F.split(F.regexp_replace(line, SAMPLE_LINE, "$1\n$2\n$3"), "\n", 3)
     part = F.col("_parts")
 
-    def in_labels(group: int) -> Column:
-        return F.regexp_extract_all(part[1], F.lit(LABEL), F.lit(group))
+    names, values = (F.regexp_extract_all(part[1], F.lit(LABEL), F.lit(g)) for g in (1, 2))
+    labels = F.zip_with(
+        names,
+        values,
+        lambda n, v: F.struct(n.alias("n"), F.regexp_replace(v, r'\\(["\\])', "$1").alias("v")),
+    )
+    # of a label that is there twice the last value counts
+    last = F.filter(
+        labels, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["n"])
+    )
 
     return (
         lines.filter((line != "") & ~line.startswith("#"))
@@ -190,7 +209,7 @@ def parse_prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
         .select(
             *others,
             part[0].alias("name"),
-            F.map_from_arrays(in_labels(1), in_labels(2)).alias("labels"),
+            F.map_from_entries(last).alias("labels"),
             part[2].try_cast("double").alias("value"),
         )
     )

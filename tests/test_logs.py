@@ -176,3 +176,30 @@ def test_prometheus(spark, tmp_path):
     assert first.endpoint == "scrape"
     assert rows["jmx_scrape_error"].labels == {} and rows["jmx_scrape_error"].value == 0.0
     assert rows["inf_value"].value == float("inf") and rows["nan_value"].value != 0
+
+
+@pytest.mark.parametrize("between", ["\n", "\r\n", "\r\n\r\n", "\n\n", ""])
+def test_no_record_is_lost(spark, tmp_path, between):
+    records = [
+        f'<Event timeMillis="{i}" level="INFO" loggerName="a"><Message>one\n\ntwo {i}</Message></Event>'
+        for i in range(100)
+    ]
+    path = tmp_path / "records.xml"
+    path.write_bytes((between.join(records) + "\n").encode())
+    assert sorted(r.raw for r in read_log4j_xml(spark, str(path)).collect()) == sorted(records)
+
+
+def test_open_records_keep_their_neighbours(spark, tmp_path):
+    good = '<Event timeMillis="1" level="INFO" loggerName="a"><Message>m</Message></Event>'
+    path = tmp_path / "records.xml"
+    path.write_text("\n".join([good, '<Event level="', good, "<NoEvent>x</NoEvent>", '<Event a="1"><Instant/></Event>', '<Event a="2"/>', good]))
+    raw = sorted(r.raw for r in read_log4j_xml(spark, str(path)).collect())
+    others = ['<Event level="', "<NoEvent>x</NoEvent>", '<Event a="1"><Instant/></Event>', '<Event a="2"/>']
+    assert raw == sorted([good, good, good, *others])
+
+
+def test_a_repeated_label_counts_once(spark, tmp_path):
+    (tmp_path / "scrape.txt").write_text('m{a="1",b="x\\"y",a="2"} 3\nn 4\n')
+    rows = {r.name: r for r in read_prometheus(spark, str(tmp_path)).collect()}
+    assert rows["m"].labels == {"a": "2", "b": 'x"y'}
+    assert rows["n"].value == 4 and not rows["n"].labels

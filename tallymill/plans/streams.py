@@ -16,12 +16,11 @@ from tallymill.plans.running import HISTORY
 from tallymill.session import scratch_path
 from tallymill.sinks.tables import ensure_schema
 from tallymill.sources.files import read_table
-from tallymill.streaming.history import stream_history
+from tallymill.streaming.history import current_history, stream_history
 from tallymill.streaming.jobs import (
     batch_counts,
     current_phases,
     processed,
-    read_batches,
     routed_events,
     stream_logs,
     stream_once,
@@ -113,15 +112,19 @@ def _stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_history", HISTORY)
 def _stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several batches, each of which changes keys of the one before."""
     path = scratch_path(spark, "history")
-    runs = event_stream(spark, sf_dir).select(
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    events.repartition(3).write.parquet(f"{path}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    runs = stream.parquet(f"{path}/events").select(
         F.col("user_id").alias("test_name"), "event_id", F.col("value").alias("duration")
     )
     stream_history(
         runs, "test_name", ["event_id"], f"{path}/out", f"{path}/checkpoint"
     ).awaitTermination()
     schema = "test_name long, event_id long, duration double"
-    return read_batches(spark, f"{path}/out", schema).drop("batch")
+    return current_history(spark, f"{path}/out", "test_name", schema)
 
 
 @query("stream_to_table", "SELECT event_id, user_id, event_type, value FROM events")

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 from heapq import nlargest
 from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallymill.operators.runs import MAX_HISTORY, MIN_RUNTIME, min_duration
-from tallymill.streaming.jobs import start, write_batch
+from tallymill.streaming.jobs import read_batches, start, write_batch
 
 # The processor travels with the job, so the executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,7 +49,7 @@ class LastRuns(StatefulProcessor):
         # The key comes first in a row, then the columns.
         new = (tuple(row)[1:] for row in rows)
         # Never more than n runs are held here, however long the input is.
-        kept = nlargest(self.n, chain(old, new), key=lambda run: [run[i] for i in places])
+        kept = nlargest(self.n, chain(old, new), key=lambda run: [(run[i] is not None, run[i]) for i in places])
         arrays = tuple(list(column) for column in zip(*kept))
         self.runs.update(arrays)
         yield Row(self.key, *names)(key[0], *arrays)
@@ -57,12 +59,19 @@ class LastRuns(StatefulProcessor):
 
 
 def _combiner(key: str, order: list[str], n: int):
-    """Cut each key to its last n runs within an Arrow batch, before the shuffle."""
+    """Cut each key to its last n runs within an Arrow batch, before the shuffle.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null key is a key like any other, and null orders come last. No value is
+    converted on the way.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            newest = batch.sort_values(order, ascending=False, kind="stable")
-            yield newest.groupby(key, sort=False).head(n)
+            newest = batch.take(pc.sort_indices(batch, [(c, "descending") for c in order]))
+            codes = newest.column(key).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            by_key = np.argsort(codes, kind="stable")
+            first = np.searchsorted(codes[by_key], codes[by_key])
+            yield newest.take(pa.array(by_key[np.arange(len(codes)) - first < n]))
 
     return cut
 
@@ -89,7 +98,7 @@ def stream_history(
     arrays = ", ".join(f"{c} array<{kind}>" for c, kind in columns.items())
     kept = min_duration(runs, least, duration).select(key, *columns)
     history = (
-        kept.mapInPandas(_combiner(key, order, n), kept.schema)
+        kept.mapInArrow(_combiner(key, order, n), kept.schema)
         .groupBy(key)
         .transformWithState(
             statefulProcessor=LastRuns(key, columns, order, n),
@@ -116,3 +125,10 @@ def stream_history(
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
+
+
+def current_history(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """The history of each key as the last batch that changed it has left it."""
+    latest = F.rank().over(Window.partitionBy(key).orderBy(F.col("batch").desc()))
+    written = read_batches(spark, path, schema).withColumn("_rank", latest)
+    return written.where("_rank = 1").drop("_rank", "batch")

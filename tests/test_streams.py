@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.logs import Route
 from tallymill.streaming import jobs
-from tallymill.streaming.history import stream_history
+from tallymill.streaming.history import current_history, stream_history
 from tests.fixtures import RECORDS
 
 
@@ -151,6 +151,18 @@ def test_history_is_bounded_state(spark, folder):
     assert run() == {"hot": [1996, 1997, 1999], "a": [1, 3]}
 
 
+def test_history_keeps_null_keys_and_exact_orders(spark, folder):
+    schema = "test_name string, id long, duration double"
+    source, out = folder + "/in", folder + "/out"
+    big = 9007199254740993
+    for rows in ([(None, big, 40.0), (None, None, 41.0), ("a", None, 42.0)], [(None, big - 2, 43.0), ("b", 1, 44.0)]):
+        files(spark, source, rows, schema)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_history(stream, "test_name", ["id"], out, folder + "/c", n=2).awaitTermination()
+    found = {tuple(r) for r in current_history(spark, out, "test_name", schema).collect()}
+    assert found == {(None, big, 40.0), (None, big - 2, 43.0), ("a", None, 42.0), ("b", 1, 44.0)}
+
+
 def test_ingest_survives_a_restart(spark, folder):
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS ingest LOCATION '{folder}/ingest'")
     for rows in ([("a", 1)], [("b", 2)]):

@@ -90,8 +90,8 @@ def stream_history(
     """The last n runs of each key, short ones left out, kept as bounded state.
 
     A key that holds a large share of a batch is cut on its way into the shuffle,
-    so its task gets n rows per Arrow batch at most. The order columns must be
-    plain numbers. A batch writes the history of the keys it has changed.
+    so its task gets n rows per Arrow batch at most. Null orders
+    come last. A batch writes the history of the keys it has changed.
     """
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
     columns = {c: kinds[c] for c in dict.fromkeys([*order, duration])}

@@ -66,8 +66,9 @@ class WordEncoder:
                 words[i] = _PIECES.findall(text.lower())
             else:
                 others.append(i)
-        for i, ids in zip(others, self._whole([texts[i] for i in others])):
-            out[i] = ids
+        if others:
+            for i, ids in zip(others, self._whole([texts[i] for i in others])):
+                out[i] = ids
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = set().union(*words.values()).difference(self.known)

@@ -330,6 +330,19 @@ def test_near_passages(docs, texts, none):
     assert compact_windows.near_passages(none).count() == 0
 
 
+def test_near_passages_behind_texts_that_hold_a_part(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(40):
+        passage = [f"w{rnd.randrange(10**6)}" for _ in range(50)]
+        for j, held in enumerate((passage[:40], passage[10:], passage, passage)):
+            before, after = ([f"z{rnd.randrange(10**9)}" for _ in range(30)] for _ in range(2))
+            rows.append((j * 100 + i, " ".join(before + held + after)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.other) for r in compact_windows.near_passages(docs).collect()}
+    assert {(200 + i, 300 + i) for i in range(40)} <= got
+
+
 def test_compact_windows_hold_every_subsequence():
     rnd = np.random.default_rng(1)
     values = rnd.integers(0, 60, 200).astype(np.uint64)

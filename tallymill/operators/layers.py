@@ -11,10 +11,11 @@ rule           result
 ``union``      a map with the keys of all layers, the highest value for each;
                NULL only if all layers are NULL
 ``concat``     the arrays of all layers one after the other, repeats kept
-``fragment``   a struct, ``last_set`` for each of its fields
-``fragment_base``  a struct, ``first_set`` for each of its fields
+``fragment``   a struct, ``last_set`` for each of its fields, ``union`` for maps
+               and ``fragment`` again for structs among them
+``fragment_base``  the same with ``first_set`` and the lowest value of a map's key
 ``named``      an array of structs with a ``name``: elements of the same name
-               are merged, their maps by ``union``, other fields by ``last_set``
+               are merged like a ``fragment``
 ``env``        an array of name and value: the last value per name, by name
 =============  ==============================================================
 """
@@ -39,8 +40,8 @@ OWN_LAYER = MAX_INDEX + 1
 
 ROW_RULES = ("last", "last_set", "first_set", "concat", "fragment", "fragment_base")
 ENTRY_RULES = ("union", "named", "env")
-# Used on the elements of a named list only.
-_PLACE, _ANY = "place", "any"
+# Used on parts of named lists and fragments only.
+_PLACE, _ANY, _UNION_BASE = "place", "any", "union_base"
 
 
 # --- layers of a document ---------------------------------------------------
@@ -104,7 +105,7 @@ def _set(value: Column, layer: Column) -> Column:
     return F.when(value.isNotNull(), layer)
 
 
-def _row_rule(value: Column, layer: Column, rule: str, kind) -> Column:
+def _row_rule(value: Column, layer: Column, rule: str) -> Column:
     if rule == "last":
         return F.max_by(value, layer)
     if rule == "last_set":
@@ -115,21 +116,41 @@ def _row_rule(value: Column, layer: Column, rule: str, kind) -> Column:
         return F.min(value)
     if rule == _ANY:
         return F.bool_or(value)
-    if rule == "concat":
-        parts = F.collect_list(
-            F.when(value.isNotNull(), F.struct(layer.alias("l"), value.alias("v")))
-        )
-        # A missing array is an empty one.
-        return F.flatten(F.transform(F.array_sort(parts), lambda p: p["v"]))
-    inner = "last_set" if rule == "fragment" else "first_set"
-    fields = [
-        _row_rule(value[f.name], layer, inner, f.dataType).alias(f.name) for f in kind.fields
-    ]
-    return F.when(F.count(value) > 0, F.struct(*fields))
-
-
-def _merge_maps(docs: DataFrame, keys: list[str], layer: str, maps: list[str]) -> DataFrame:
-    """Union of the map columns per key.
+    parts = F.collect_list(F.when(value.isNotNull(), F.struct(layer.alias("l"), value.alias("v"))))
+    # A missing array is an empty one.
+    return F.flatten(F.transform(F.array_sort(parts), lambda p: p["v"]))
+
+
+def _leaves(value: Column, kind, name: str, rule: str) -> tuple[dict[str, tuple[Column, str]], Column]:
+    """The leaves of a fragment with their rules, and the fragment made of them again."""
+    if isinstance(kind, MapType):
+        return {name: (value, "union" if rule == "fragment" else _UNION_BASE)}, F.col(name)
+    if not isinstance(kind, StructType):
+        return {name: (value, "last_set" if rule == "fragment" else "first_set")}, F.col(name)
+    found, fields = {f"{name}__set": (value.isNotNull(), _ANY)}, []
+    for i, f in enumerate(kind.fields):
+        inner, field = _leaves(value.getField(f.name), f.dataType, f"{name}__{i}", rule)
+        found.update(inner)
+        fields.append(field.alias(f.name))
+    return found, F.when(F.col(f"{name}__set"), F.struct(*fields))
+
+
+def _merge_fragments(docs: DataFrame, keys: list[str], layer: str, rules: Mapping[str, str]) -> DataFrame:
+    """Merge all columns, those that are fragments leaf by leaf."""
+    leaves, whole = {}, {}
+    for c, rule in rules.items():
+        if rule in ("fragment", "fragment_base"):
+            found, whole[c] = _leaves(F.col(c), docs.schema[c].dataType, f"_leaf_{c}", rule)
+        else:
+            found, whole[c] = {c: (F.col(c), rule)}, F.col(c)
+        leaves.update(found)
+    flat = docs.select(*keys, layer, *(value.alias(name) for name, (value, _) in leaves.items()))
+    merged = _merge(flat, keys, layer, {name: rule for name, (_, rule) in leaves.items()})
+    return merged.select(*keys, *(value.alias(c) for c, value in whole.items()))
+
+
+def _merge_maps(docs: DataFrame, keys: list[str], layer: str, maps: list[str], best=F.max_by) -> DataFrame:
+    """Union of the map columns per key; ``best`` takes the value of the layer that wins.
 
     The maps are taken apart, so that overridden entries are dropped before the
     shuffle and no key is ever held with all its layers. Only the entries of the
@@ -137,7 +158,7 @@ def _merge_maps(docs: DataFrame, keys: list[str], layer: str, maps: list[str]) -
     """
     value_type = {docs.schema[m].dataType.valueType.simpleString() for m in maps}
     if len(value_type) > 1:
-        parts = [_merge_maps(docs, keys, layer, [m]) for m in maps]
+        parts = [_merge_maps(docs, keys, layer, [m], best) for m in maps]
         merged = parts[0]
         for part in parts[1:]:
             merged = _together(merged, part, keys)
@@ -162,7 +183,7 @@ def _merge_maps(docs: DataFrame, keys: list[str], layer: str, maps: list[str]) -
         F.explode_outer("_m.entries").alias("_e"),
     )
     winners = rows.groupBy(*keys, "_map", F.col("_e.key").alias("_k")).agg(
-        F.max_by(F.col("_e.value"), F.when(F.col("_e").isNotNull(), F.col(layer))).alias("_v"),
+        best(F.col("_e.value"), F.when(F.col("_e").isNotNull(), F.col(layer))).alias("_v"),
         F.bool_or("_present").alias("_present"),
     )
 
@@ -197,12 +218,10 @@ def _merge_named(docs: DataFrame, keys: list[str], layer: str, column: str) -> D
         F.col("_el.name").alias("name"),
         *(F.col(f"_el.{f.name}").alias(f.name) for f in fields),
     )
-    rules = {
-        f.name: "union" if isinstance(f.dataType, MapType) else "last_set" for f in fields
-    }
+    rules = {f.name: "fragment" for f in fields}
     # The name of a key without elements is NULL, and a join does not find that.
     named = F.coalesce("name", F.lit(""))
-    merged = _merge(
+    merged = _merge_fragments(
         elements.withColumn("name", named),
         [*keys, "name"],
         layer,
@@ -244,14 +263,16 @@ def _merge(docs: DataFrame, keys: list[str], layer: str, rules: Mapping[str, str
     shuffle.
     """
     parts = []
-    if rows := {c: rule for c, rule in rules.items() if rule not in ENTRY_RULES}:
+    if rows := {c: rule for c, rule in rules.items() if rule not in (*ENTRY_RULES, _UNION_BASE)}:
         merged = (
-            _row_rule(F.col(c), F.col(layer), rule, docs.schema[c].dataType).alias(c)
+            _row_rule(F.col(c), F.col(layer), rule).alias(c)
             for c, rule in rows.items()
         )
         parts.append(docs.groupBy(*keys).agg(*merged))
     if maps := [c for c, rule in rules.items() if rule == "union"]:
         parts.append(_merge_maps(docs, keys, layer, maps))
+    if maps := [c for c, rule in rules.items() if rule == _UNION_BASE]:
+        parts.append(_merge_maps(docs, keys, layer, maps, F.min_by))
     parts += [_merge_named(docs, keys, layer, c) for c, rule in rules.items() if rule == "named"]
     parts += [_merge_env(docs, keys, layer, c) for c, rule in rules.items() if rule == "env"]
     return reduce(lambda left, right: _together(left, right, keys), parts)
@@ -285,7 +306,7 @@ def layered_merge(
     # Dots would be read as struct access later on, so work with plain names.
     names = {column: column.replace(".", "__") for column in rules}
     flat = docs.select(*keys, layer, *(F.col(c).alias(n) for c, n in names.items()))
-    merged = _merge(flat, keys, layer, {names[c]: rule for c, rule in rules.items()})
+    merged = _merge_fragments(flat, keys, layer, {names[c]: rule for c, rule in rules.items()})
     return merged.select(*keys, *(F.col(n).alias(c) for c, n in names.items()))
 
 

@@ -110,6 +110,22 @@ def test_fragments(spark):
     assert merged("fragment_base") == {1: (1, 3), 2: (5, 6), 3: None}
 
 
+def test_nested_resources_are_merged_by_leaf(spark):
+    inner = "resources:struct<requests:map<string,string>,limits:map<string,string>,class:struct<a:int,b:int>>"
+    schema = f"app string, layer int, containers array<struct<name:string,{inner}>>, pod struct<{inner}>"
+    base = ({"cpu": "500m", "memory": "512Mi"}, None, (1, None))
+    overlay = ({"cpu": "1500m"}, {"memory": "2Gi"}, (None, 2))
+    rows = [("a", 0, [("spark-submit", base)], (base,)), ("a", 1, [("spark-submit", overlay)], (overlay,)), ("b", 0, [("x", None)], None)]
+    df = spark.createDataFrame(rows, schema).withColumn("first", F.col("pod"))
+    rules = {"containers": "named", "pod": "fragment", "first": "fragment_base"}
+    found = {r.app: r for r in layered_merge(df, "app", "layer", rules).collect()}
+    want = ({"cpu": "1500m", "memory": "512Mi"}, {"memory": "2Gi"}, (1, 2))
+    for resources in (found["a"].containers[0].resources, found["a"].pod.resources):
+        assert (resources.requests, resources.limits, tuple(resources["class"])) == want
+    assert found["a"]["first"].resources.requests == {"cpu": "500m", "memory": "512Mi"}
+    assert found["b"].containers[0].resources is None and found["b"].pod is None
+
+
 def test_environment_is_replaced_by_name_and_sorted(spark):
     schema = "k int, layer int, env array<struct<name:string,value:string>>"
     df = spark.createDataFrame([(1, 0, [("Z", "1"), ("A", "1")]), (1, 1, [("Z", "2"), ("B", None)])], schema)

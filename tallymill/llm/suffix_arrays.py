@@ -6,9 +6,10 @@ those are retained that begin at a minimiser: in every run of ``WINDOW`` runs of
 words hold ``WINDOW`` equal runs of ``K`` words side by side, so they retain
 a suffix at the same place. Retained suffixes whose first ``K`` words recur are
 sorted by what follows, neighbours are compared, and each match is extended to
-the left and to the right. A second order, by what precedes, finds the
-neighbours that agree on the left. Context of ``WINDOW`` words to each side is
-enough for both: where a match goes on, the next retained suffix takes over.
+the left and to the right. Context of ``WINDOW`` words to each side is enough:
+where a match goes on, the next retained suffix takes over. Where more than two
+suffixes begin alike, neighbours may agree less on the left than others do, so
+there every passage of ``LEAST`` words that holds the beginning is counted too.
 """
 
 from __future__ import annotations
@@ -115,6 +116,27 @@ def _suffixes(recurring: KeyFilter):
     return work
 
 
+def _passages(crowded: KeyFilter):
+    """Hash and place of every run of ``LEAST`` words that holds a crowded minimiser."""
+
+    def work(ids: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        key, at = minimisers(hashes, rows)
+        at = at[crowded.may_hold(key.view(np.int64))]
+        edges = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(edges, np.maximum(at - WINDOW + 1, 0), 1)
+        np.add.at(edges, at + 1, -1)
+        whole, begin, _ = windows(hashes, rows, LEAST, 37)
+        hit = np.cumsum(edges)[begin] > 0
+        whole, begin = whole[hit], begin[hit]
+        row = np.searchsorted(rows, begin, "right") - 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(whole.view(np.int64)), pa.array(ids[row]), pa.array((begin - rows[row]).astype(np.int32))],
+            names=["passage", "doc_id", "start"],
+        )
+
+    return work
+
+
 def _context(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, WINDOW)
 
@@ -193,8 +215,8 @@ def _across(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "stop", "other"])
 
 
-def _neighbour_matches(suffixes: DataFrame, parts: int, side: str) -> DataFrame:
-    order = ["key", side, "doc_id", "at"]
+def _neighbour_matches(suffixes: DataFrame, parts: int) -> DataFrame:
+    order = ["key", "right", "doc_id", "at"]
     dealt = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = checkpoint(dealt.mapInArrow(_compare, _EDGES))
     edges = rows.where("part is not null").select("part", "key", "doc_id", "at", "left", "right")
@@ -226,10 +248,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     suffixes = checkpoint(suffixes.join(keys, "key"))
     count = suffixes.count()
-    found = _neighbour_matches(suffixes.drop("n"), max(1, -(-count // PART)), "right")
-    crowded = suffixes.where("n > 2").drop("n")
-    found = found.union(_neighbour_matches(crowded, max(1, -(-count // PART)), "left"))
-    return _merged(found)
+    found = _neighbour_matches(suffixes.drop("n"), max(1, -(-count // PART)))
+    crowded = KeyFilter(keys.where("n > 2"), FILTER_BITS)
+    return _merged(found.union(_passage_matches(docs, crowded)))
+
+
+def _passage_matches(docs: DataFrame, crowded: KeyFilter) -> DataFrame:
+    """Passages that hold a crowded minimiser and occur in another text, with the first or last such text."""
+    held = checkpoint(docs.mapInArrow(_per_chunk(_passages(crowded)), "passage long, doc_id long, start int"))
+    shared = held.groupBy("passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    other = F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    start = F.col("start").cast("long")
+    return held.join(shared, "passage").select("doc_id", start.alias("start"), (start + LEAST).alias("stop"), other.alias("other"))
 
 
 def _merged(found: DataFrame) -> DataFrame:

@@ -317,6 +317,22 @@ def test_repeated_spans(docs, texts, none):
     assert suffix_arrays.repeated_spans(none).count() == 0
 
 
+def test_repeated_spans_around_a_frequent_phrase(spark):
+    rnd = random.Random(12)
+
+    def fresh(n):
+        return [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+
+    phrase, rows = fresh(30), []
+    for i in range(30):
+        left, right = fresh(10), fresh(10)
+        for held in 2 * [left + phrase + right] + 8 * [phrase + right] + 8 * [left + phrase]:
+            rows.append((rnd.randrange(10**12), " ".join(fresh(40) + held + fresh(40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = covered(suffix_arrays.repeated_spans(docs).collect(), rows), exact_cover(rows)
+    assert all((got[k] == want[k]).all() for k in want) and sum(w.any() for w in want.values()) == 60
+
+
 def test_near_passages(docs, texts, none):
     spans = compact_windows.near_passages(docs).collect()
     got, want = covered(spans, texts), exact_cover(texts)

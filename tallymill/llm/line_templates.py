@@ -3,8 +3,9 @@
 A line goes down the tree by its number of words and its first ``DEPTH`` words,
 a word with a digit being any word. In a leaf, a word that recurs at its place
 in lines of at least ``MIN_DOCS`` documents is constant and every other word is
-a variable field. The constants and their places are the line's template. A
-template with enough constants that occurs in at least ``MIN_DOCS`` different
+a variable field. The constants and their places are the line's template, if
+they are most of the words without a digit; the template of any other line is
+the line itself, word for word. A template that occurs in at least ``MIN_DOCS`` different
 texts is dropped from all of them but its first place, so that what copies of a
 document share is not lost with all of them.
 
@@ -21,7 +22,7 @@ from tallymill.session import checkpoint
 
 DEPTH = 3
 MIN_DOCS = 5
-#: Least words of a template, and the least share of constants among them.
+#: Least constants of a template, and their least share of the words without a digit.
 MIN_WORDS = 3
 CONSTANT = 0.7
 #: Bits of the filter for leaves that can recur; its size is fixed.
@@ -48,7 +49,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
     )
-    return lines.where(F.regexp_count("line", F.lit(WORD)) >= MIN_WORDS).withColumn("leaf", _leaf(F.col("line")))
+    return lines.where(F.regexp_count("line", F.lit(WORD)) > 0).withColumn("leaf", _leaf(F.col("line")))
 
 
 def _in_filter(leaves: DataFrame) -> Column:
@@ -70,7 +71,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     leaves = checkpoint(_recurring(_lines(docs), "leaf").select("leaf"))
     held = _lines(docs).where(_in_filter(leaves)).join(leaves, "leaf", "left_semi")
     words = F.filter(F.split("line", BREAKS), lambda w: w != "")
-    held = checkpoint(held.select("doc_id", "h", "pos", "leaf", F.transform(words, _masked).alias("words")).withColumn("line", F.xxhash64("leaf", "words")))
+    held = held.select("doc_id", "h", "pos", "leaf", F.transform(words, _masked).alias("words"), F.xxhash64(words).alias("same"))
+    held = checkpoint(held.withColumn("line", F.xxhash64("leaf", "words")))
 
     # a line that comes again and again is looked at once, with its number of texts
     texts = held.select("line", "h").distinct().groupBy("line").agg(F.count("*").alias("texts"))
@@ -79,14 +81,17 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     constant = kinds.groupBy("leaf", "at", "word").agg(F.sum("texts").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("word") != ANY))
     fields = kinds.join(constant.select("leaf", "at", "word", F.lit(1).alias("fixed")), ["leaf", "at", "word"], "left")
     templates = fields.groupBy("line", "leaf").agg(
-        F.count("*").alias("n"),
+        F.count(F.when(F.col("word") != ANY, 1)).alias("plain"),
         F.count("fixed").alias("constants"),
         F.bit_xor(F.when(F.col("fixed") == 1, F.xxhash64("at", "word"))).alias("code"),
     )
-    templates = templates.where(F.col("constants") >= CONSTANT * F.col("n")).select(
+    enough = (F.col("constants") >= MIN_WORDS) & (F.col("constants") >= CONSTANT * F.col("plain"))
+    templates = templates.where(enough).select(
         "line", F.xxhash64("leaf", "code", "constants").alias("template")
     )
-    placed = checkpoint(held.select("doc_id", "h", "pos", "line").join(templates, "line").drop("line"))
+    itself = F.xxhash64(F.lit("same"), "same")
+    placed = held.select("doc_id", "h", "pos", "line", "same").join(templates, "line", "left")
+    placed = checkpoint(placed.select("doc_id", "h", "pos", F.coalesce("template", itself).alias("template")))
     first = placed.groupBy("template").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"))
     out = placed.join(_recurring(placed, "template").join(first, "template"), "template")
     return out.where((F.col("h") != F.col("first.h")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "h", "pos")
@@ -97,8 +102,8 @@ def without_recurring_lines(docs: DataFrame) -> DataFrame:
 
     All columns and rows stay; ``text`` loses lines and ``_n_lines`` and
     ``_dropped`` (an array of line numbers from 0, null if none) are added.
-    Lines end at line feeds. Lines of fewer than ``MIN_WORDS`` words are never
-    dropped. Equal texts count as one when documents are counted, so a document
+    Lines end at line feeds. Lines without words are never dropped, those of
+    fewer than ``MIN_WORDS`` words only if they recur word for word. Equal texts count as one when documents are counted, so a document
     that is copied whole keeps its lines unless others have them too. A null
     text stays null. Rows with equal ``doc_id`` and text are treated alike. An
     empty table stays empty.

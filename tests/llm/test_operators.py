@@ -245,6 +245,17 @@ def test_line_templates(spark, none):
     assert line_templates.without_recurring_lines(none).count() == 0
 
 
+def test_lines_of_mostly_fields_and_short_lines(spark):
+    rnd = random.Random(13)
+    rows = []
+    for i in range(12):
+        lines = ["Les.", f"Posted on 2024-05-{i + 10} at 10:{i + 20} by user{i}", "2024 17:03 42", f"Sum {i} {i + 5} {i * 7}", prose(9, rnd), f"And {i}"]
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r._dropped for r in line_templates.without_recurring_lines(docs).collect()}
+    assert got[0] is None and all(got[i] == [0, 1, 2] for i in range(1, 12))
+
+
 def test_fingerprints(spark, docs, texts, none):
     ordered = sorted((k, t or "") for k, t in texts)
     got = {r.doc_id: r for r in syncmers.edited_fingerprints(docs).collect()}

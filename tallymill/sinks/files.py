@@ -10,16 +10,23 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_report_csv(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
-    """A small report as CSV with a header, in one file.
+    """A report as CSV with a header, in one file where it is of ordinary size.
 
-    The rebalance runs after the upstream work, which therefore keeps its
-    parallelism. A report of ordinary size ends in one partition and one file;
-    a result that is larger than a file should be stays in several.
+    A result that is larger than a file should be stays in several, and with
+    ``order_by`` their names follow that order. Small parts are brought together
+    after the upstream work, which therefore keeps its parallelism.
     """
-    report = df.hint("rebalance")
-    if order_by:
-        report = report.sortWithinPartitions(*order_by)
-    report.write.mode("overwrite").option("header", True).csv(path)
+    if not order_by:
+        df.hint("rebalance").write.mode("overwrite").option("header", True).csv(path)
+        return
+    # sorted parts are joined up to the advisory size, not kept for parallelism
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        df.orderBy(*order_by).write.mode("overwrite").option("header", True).csv(path)
+    finally:
+        conf.set(name, before)
 
 
 def show(df: DataFrame, rows: int = 20) -> None:

@@ -39,6 +39,22 @@ def test_report_is_one_sorted_file(spark, folder):
     assert read_csv(spark, folder + "/r").count() == 1
 
 
+def test_a_large_report_is_in_order_over_its_files(spark, folder):
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "20kb")
+    try:
+        report = spark.range(0, 20_000, numPartitions=20).select(F.xxhash64("id").alias("n"))
+        write_report_csv(report, folder + "/r", ["n"])
+    finally:
+        for name in names:
+            spark.conf.set(name, before[name])
+    files = sorted(parts(folder + "/r"))
+    found = [int(x) for f in files for x in f.read_text().splitlines()[1:]]
+    assert len(files) > 1 and len(found) == 20_000 and found == sorted(found)
+
+
 def test_csv_types_are_inferred_or_given(spark, folder):
     typed_literals(spark).write.option("header", True).csv(folder + "/c")
     inferred = dict(read_csv(spark, folder + "/c").dtypes)

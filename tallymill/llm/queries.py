@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymill.llm import (
     ball_tree,
     best_fit,
+    byte_bpe,
     compact_windows,
     line_templates,
     lsh_forest,
@@ -59,6 +60,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
 
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.takes(table(spark, sf_dir, "documents"))

@@ -41,10 +41,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")
 
 
-def _lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, path: str, batches: int = 1) -> DataFrame:
     """The documents as text files, and the stream of their lines."""
-    table(spark, sf_dir, "documents").select("text").write.text(f"{path}/text")
-    return text_stream(spark, f"{path}/text")
+    texts = table(spark, sf_dir, "documents").select("text")
+    if batches == 1:
+        texts.write.text(f"{path}/text")
+        return text_stream(spark, f"{path}/text")
+    texts.repartition(2 * batches).write.text(f"{path}/text")
+    return text_stream(spark, f"{path}/text", 2)
+
+
+def _in_batches(rows: DataFrame, path: str, batches: int) -> DataFrame:
+    """The rows as a stream of so many batches."""
+    rows.repartition(2 * batches).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @query("stream_word_counts", WORDS)
@@ -59,9 +69,10 @@ def _stream_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_word_totals", WORDS)
 def _stream_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches; two at a time are merged."""
     path = scratch_path(spark, "totals")
-    lines = _lines(spark, sf_dir, path)
-    stream_word_totals(lines, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    lines = _lines(spark, sf_dir, path, 5)
+    stream_word_totals(lines, f"{path}/out", f"{path}/checkpoint", every=2).awaitTermination()
     return word_totals(spark, f"{path}/out")
 
 
@@ -83,12 +94,33 @@ def _stream_log_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(broken).groupBy("route").agg(F.count("*").alias("events"))
 
 
+@query(
+    "stream_log_events",
+    f"""WITH {RECORDS_CTE}
+        SELECT route, 'event ' || event_id || ' ' || props AS message, lvl AS level,
+               'shop.' || event_type AS logger
+        FROM records JOIN {routes_values()} {ROUTES_ON} WHERE c IN (0, 1, 13)""",
+)
+def _stream_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lands under each route, over four batches of which some are merged."""
+    path = scratch_path(spark, "logs")
+    records = render_records(table(spark, sf_dir, "events")).drop("event_id")
+    stream_logs(
+        _in_batches(records, f"{path}/records", 4), routes(), f"{path}/out", f"{path}/checkpoint",
+        ingest_time=ingested(), every=2,
+    ).awaitTermination()
+    return routed_events(spark, f"{path}/out").select("route", "message", "level", "logger")
+
+
 @query("stream_phases", CURRENT)
 def _stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches with the events of a key in any order; two at a time are merged."""
     path = scratch_path(spark, "phases")
     order = ["ts", "event_id"]
-    events = phase_events(event_stream(spark, sf_dir))
-    stream_phases(events, "user_id", order, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    events = _in_batches(phase_events(table(spark, sf_dir, "events")), f"{path}/events", 5)
+    stream_phases(
+        events, "user_id", order, f"{path}/out", f"{path}/checkpoint", every=2
+    ).awaitTermination()
     ts_type = events.schema["ts"].dataType.simpleString()
     schema = f"user_id long, phase string, ts {ts_type}, event_id long"
     return current_phases(spark, f"{path}/out", "user_id", order, schema)
@@ -100,31 +132,42 @@ def _stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM events GROUP BY user_id""",
 )
 def _stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two streams over the same input; the ledger keeps the second from acting."""
+    """A stream over five batches, more input and a restart, and a second stream.
+
+    The first events come with the first five batches, so what the restarted
+    stream and the second one read is in the ledger, merged or not.
+    """
     path = scratch_path(spark, "once")
-    events = event_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
-    for checkpoint in ("first", "second"):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    firsts = events.groupBy("user_id").agg(F.min("event_id").alias("first"))
+    events = events.join(firsts, "user_id")
+    for later, checkpoint in ((False, "first"), (True, "first"), (None, "second")):
+        rows = events.where((F.col("event_id") != F.col("first")) if later else (F.col("event_id") == F.col("first")))
+        rows = rows.drop("first")
+        if later is None:
+            stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        else:
+            stream = _in_batches(rows, f"{path}/in", 1 if later else 5)
         stream_once(
-            events, "user_id", ["event_id"], f"{path}/out", f"{path}/{checkpoint}"
+            stream, "user_id", ["event_id"], f"{path}/out", f"{path}/{checkpoint}", every=2
         ).awaitTermination()
-    return processed(spark, f"{path}/out", events.schema)
+    return processed(spark, f"{path}/out", rows.schema)
 
 
 @query("stream_history", HISTORY)
 def _stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several batches, each of which changes keys of the one before."""
+    """Five batches, each of which changes keys of the one before; two at a time are merged."""
     path = scratch_path(spark, "history")
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    events.repartition(3).write.parquet(f"{path}/events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-    runs = stream.parquet(f"{path}/events").select(
+    runs = _in_batches(events, f"{path}/events", 5).select(
         F.col("user_id").alias("test_name"), "event_id", F.col("value").alias("duration")
     )
+    order = ["event_id"]
     stream_history(
-        runs, "test_name", ["event_id"], f"{path}/out", f"{path}/checkpoint"
+        runs, "test_name", order, f"{path}/out", f"{path}/checkpoint", every=2
     ).awaitTermination()
     schema = "test_name long, event_id long, duration double"
-    return current_history(spark, f"{path}/out", "test_name", schema)
+    return current_history(spark, f"{path}/out", "test_name", schema, order)
 
 
 @query("stream_to_table", "SELECT event_id, user_id, event_type, value FROM events")

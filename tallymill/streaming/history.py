@@ -1,79 +1,14 @@
-"""The last runs of each key as streaming state."""
+"""The last runs of each key, kept bounded while runs arrive."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from heapq import nlargest
-from itertools import chain
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-from tallymill.operators.runs import MAX_HISTORY, MIN_RUNTIME, min_duration
-from tallymill.streaming.jobs import read_batches, start, write_batch
-
-# The processor travels with the job, so the executors need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-class LastRuns(StatefulProcessor):
-    """Keeps the last n runs of a key and emits them whenever it sees the key.
-
-    State and output are one row per key, an array for each column. A key costs
-    one read and one write of the store, and its runs are laid out as rows again
-    outside Python.
-    """
-
-    def __init__(self, key: str, columns: dict[str, str], order: list[str], n: int) -> None:
-        self.key, self.columns, self.order, self.n = key, columns, order, n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        arrays = ", ".join(f"{c} array<{kind}>" for c, kind in self.columns.items())
-        self.runs = handle.getValueState("runs", arrays)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        names = list(self.columns)
-        places = [names.index(c) for c in self.order]
-        held = self.runs.get()
-        old = zip(*held) if held else ()
-        # The key comes first in a row, then the columns.
-        new = (tuple(row)[1:] for row in rows)
-        # Never more than n runs are held here, however long the input is.
-        kept = nlargest(self.n, chain(old, new), key=lambda run: [(run[i] is not None, run[i]) for i in places])
-        arrays = tuple(list(column) for column in zip(*kept))
-        self.runs.update(arrays)
-        yield Row(self.key, *names)(key[0], *arrays)
+from pyspark.sql.types import StructType
 
-    def close(self) -> None:
-        pass
-
-
-def _combiner(key: str, order: list[str], n: int):
-    """Cut each key to its last n runs within an Arrow batch, before the shuffle.
-
-    A null key is a key like any other, and null orders come last. No value is
-    converted on the way.
-    """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            newest = batch.take(pc.sort_indices(batch, [(c, "descending") for c in order]))
-            codes = newest.column(key).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
-            by_key = np.argsort(codes, kind="stable")
-            first = np.searchsorted(codes[by_key], codes[by_key])
-            yield newest.take(pa.array(by_key[np.arange(len(codes)) - first < n]))
-
-    return cut
+from tallymill.operators.runs import MAX_HISTORY, MIN_RUNTIME, last_n, min_duration
+from tallymill.streaming.batches import MERGE_EVERY, append_batch, read_batches
+from tallymill.streaming.jobs import start
 
 
 def stream_history(
@@ -86,49 +21,35 @@ def stream_history(
     least: float = MIN_RUNTIME,
     n: int = MAX_HISTORY,
     once: bool = True,
+    every: int = MERGE_EVERY,
 ) -> StreamingQuery:
-    """The last n runs of each key, short ones left out, kept as bounded state.
+    """The last n runs of each key, short ones left out.
 
-    A key that holds a large share of a batch is cut on its way into the shuffle,
-    so its task gets n rows per Arrow batch at most. Null orders
-    come last. A batch writes the history of the keys it has changed.
+    The last runs of all are among the last runs of each batch, so a batch is
+    cut to n runs a key when it is written, and batches are cut again when they
+    are merged. What is kept follows the number of keys, not of runs, and no
+    state lives between batches. A null key is a key like any other, and null
+    orders come last.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
-    columns = {c: kinds[c] for c in dict.fromkeys([*order, duration])}
-    arrays = ", ".join(f"{c} array<{kind}>" for c, kind in columns.items())
-    kept = min_duration(runs, least, duration).select(key, *columns)
-    history = (
-        kept.mapInArrow(_combiner(key, order, n), kept.schema)
-        .groupBy(key)
-        .transformWithState(
-            statefulProcessor=LastRuns(key, columns, order, n),
-            outputStructType=f"{key} {kinds[key]}, {arrays}",
-            outputMode="Update",
-            timeMode="None",
-        )
-        .select(key, F.inline(F.arrays_zip(*columns)))
-    )
+    columns = list(dict.fromkeys([key, *order, duration]))
+    kept = min_duration(runs, least, duration).select(*columns)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+    def cut(rows: DataFrame) -> DataFrame:
+        return last_n(rows, key, order, n)
 
-    # Such state needs this store; a running query keeps the setting it started with.
-    spark = runs.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        return start(
-            history.writeStream.outputMode("update").foreachBatch(upsert), checkpoint, once
-        )
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(cut(batch), path, batch_id, cut, every)
 
+    return start(kept.writeStream.foreachBatch(write), checkpoint, once)
 
-def current_history(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """The history of each key as the last batch that changed it has left it."""
-    latest = F.rank().over(Window.partitionBy(key).orderBy(F.col("batch").desc()))
-    written = read_batches(spark, path, schema).withColumn("_rank", latest)
-    return written.where("_rank = 1").drop("_rank", "batch")
+
+def current_history(
+    spark: SparkSession,
+    path: str,
+    key: str,
+    schema: StructType | str,
+    order: list[str],
+    n: int = MAX_HISTORY,
+) -> DataFrame:
+    """The last n runs of each key over all batches so far."""
+    return last_n(read_batches(spark, path, schema).drop("batch"), key, order, n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
-from tallymill.operators.apps import is_terminal, latest_phase, not_yet_processed
+from tallymill.operators.apps import is_terminal, latest_phase
 from tallymill.operators.logs import (
     Route,
     invariant_violations,
@@ -18,7 +18,17 @@ from tallymill.operators.logs import (
     valid_events,
 )
 from tallymill.operators.reports import word_count
-from tallymill.session import is_small, spread
+from tallymill.session import spread
+from tallymill.streaming.batches import (
+    MERGE_EVERY,
+    Folder,
+    append_batch,
+    check_number,
+    compact,
+    read_batches,
+    write_batch,
+)
+from tallymill.streaming.ledger import compact_ledger, known_keys
 
 
 def text_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -35,53 +45,38 @@ def start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQue
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
-    """Write the rows of a batch; running it again replaces them."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch={batch_id}")
-
-
-def read_batches(
-    spark: SparkSession, path: str, schema: StructType | str, streams: bool = False
-) -> DataFrame:
-    """The rows of all batches so far, with the number of the batch.
-
-    ``streams`` is for folders that several streams share, one below the other.
-    """
-    if not isinstance(schema, str):
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    schema += ", stream string, batch long" if streams else ", batch long"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
-
-
 # --- word counts ------------------------------------------------------------
 
 COUNTS = "word string, count long"
 
 
 def stream_word_counts(
-    lines: DataFrame, path: str, checkpoint: str, once: bool = True
+    lines: DataFrame, path: str, checkpoint: str, once: bool = True, every: int = MERGE_EVERY
 ) -> StreamingQuery:
     """The word counts of each batch by itself; needs no state."""
 
     def count(batch: DataFrame, batch_id: int) -> None:
-        write_batch(word_count(batch), path, batch_id)
+        append_batch(word_count(batch), path, batch_id, every=every)
 
     return start(lines.writeStream.foreachBatch(count), checkpoint, once)
 
 
+def _added_up(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word").agg(F.sum("count").alias("count"), F.max("batch").alias("batch"))
+
+
 def stream_word_totals(
-    lines: DataFrame, path: str, checkpoint: str, once: bool = True
+    lines: DataFrame, path: str, checkpoint: str, once: bool = True, every: int = MERGE_EVERY
 ) -> StreamingQuery:
-    """Running totals: each batch writes the words whose total has changed."""
+    """Running totals: each batch adds its counts, and merged batches hold their sums.
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+    No state is kept between batches but what they have written.
+    """
 
-    writer = word_count(lines).writeStream.outputMode("update").foreachBatch(upsert)
-    return start(writer, checkpoint, once)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        append_batch(word_count(batch), path, batch_id, _added_up, every)
+
+    return start(lines.writeStream.foreachBatch(add), checkpoint, once)
 
 
 def batch_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +84,8 @@ def batch_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The current total of each word: the one of the last batch that changed it."""
-    changes = read_batches(spark, path, COUNTS)
-    return changes.groupBy("word").agg(F.max_by("count", "batch").alias("count"))
+    """The current total of each word."""
+    return _added_up(read_batches(spark, path, COUNTS)).drop("batch")
 
 
 # --- log aggregation --------------------------------------------------------
@@ -110,6 +104,7 @@ def stream_logs(
     checkpoint: str,
     once: bool = True,
     ingest_time: Column | None = None,
+    every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Raw XML records with their origin go to one folder per route.
 
@@ -125,9 +120,9 @@ def stream_logs(
             routed = route(valid_events(events), routes).select(*ROUTED_COLUMNS)
             # A route becomes few files, and a busy one is still split over tasks.
             routed = routed.hint("rebalance", "route")
-            write_batch(routed, f"{path}/events", batch_id, ("route",))
+            append_batch(routed, f"{path}/events", batch_id, every=every, partition_by=("route",))
             broken = invariant_violations(events).select(*ROUTED_COLUMNS[:-1])
-            write_batch(broken, f"{path}/violations", batch_id)
+            append_batch(broken, f"{path}/violations", batch_id, every=every)
         finally:
             events.unpersist()
 
@@ -145,22 +140,43 @@ def violations(spark: SparkSession, path: str) -> DataFrame:
 # --- phases -----------------------------------------------------------------
 
 
+def _last_phase(key: str, order: list[str]):
+    """The row of each key that counts: the last phase in ``order``."""
+
+    def last(rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c != key]
+        rank = F.when(F.col("phase").isNotNull(), F.struct(*order))
+        # a key whose phases are all null keeps a row of nulls
+        found = rows.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("last"))
+        return found.select(key, *[F.col(f"last.{c}").alias(c) for c in others])
+
+    return last
+
+
 def stream_phases(
-    events: DataFrame, key: str, order: list[str], path: str, checkpoint: str, once: bool = True
+    events: DataFrame,
+    key: str,
+    order: list[str],
+    path: str,
+    checkpoint: str,
+    once: bool = True,
+    every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """The latest phase per key as events arrive.
 
-    A batch writes the keys it has changed together with the order of the event
-    that counts, and the reader takes the last one.
+    A batch writes one row for each of its keys, the event that counts in
+    ``order``; merged batches do the same. So no state lives between batches,
+    whether or not a key has come to its end, and an event that is late, even
+    behind a final phase, counts by its place in ``order`` as it does in
+    :func:`latest_phase`.
     """
-    last = F.max_by(F.struct("phase", *order), F.struct(*order)).alias("last")
-    phases = events.groupBy(key).agg(last).select(key, "last.*")
+    last = _last_phase(key, order)
+    rows = events.select(*dict.fromkeys([key, "phase", *order]))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+        append_batch(last(batch), path, batch_id, last, every)
 
-    writer = phases.writeStream.outputMode("update").foreachBatch(upsert)
-    return start(writer, checkpoint, once)
+    return start(rows.writeStream.foreachBatch(upsert), checkpoint, once)
 
 
 def current_phases(
@@ -182,6 +198,7 @@ def stream_once(
     checkpoint: str,
     act: Callable[[DataFrame, int], DataFrame] | None = None,
     once: bool = True,
+    every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Act on the first event of each key, once in the life of the key.
 
@@ -189,39 +206,37 @@ def stream_once(
     The ledger is written right after the action; between the two steps a failure
     repeats the batch. Its results and its ledger entries then replace those of
     the first try, so the results hold each key once. An action with effects
-    elsewhere must be safe to repeat.
+    elsewhere must be safe to repeat. A null key is a key like any other.
 
-    The keys of an ordinary batch are broadcast to the ledger, which is then read
-    but not shuffled, however long it has grown.
+    Of the ledger only the buckets are read that the keys of the batch fall into,
+    however long it has grown.
     """
     key_type = events.schema[key].dataType.simpleString()
-    ledger_schema = f"{key} {key_type}, phase string"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # A checkpoint keeps the identity of its stream over restarts. A stream
         # with another checkpoint counts its batches anew, in its own folder.
         stream = spark.sparkContext.getLocalProperty(_QUERY_ID)
-        mine = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
-        ledger = read_batches(spark, f"{path}/ledger", ledger_schema, streams=True)
-        ledger = ledger.filter(~mine)
+        results, ledger = f"{path}/results/stream={stream}", f"{path}/ledger/stream={stream}"
+        check_number(Folder(spark, ledger), batch_id)
         others = [c for c in batch.columns if c != key]
         first = batch.groupBy(key).agg(
             F.min_by(F.struct(*others), F.struct(*order)).alias("first")
         )
         first = first.select(key, "first.*").persist()
         try:
-            keys = first.select(key)
-            if is_small(keys):
-                ledger = ledger.join(F.broadcast(keys), key, "left_semi")
-            fresh = not_yet_processed(first, ledger, key)
-            results = f"{path}/results/stream={stream}"
+            known = known_keys(spark, f"{path}/ledger", first.select(F.col(key).alias("key")), stream, batch_id)
+            known = known.select(F.col("key").alias("_known"))
+            fresh = first.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
             write_batch(act(fresh, batch_id) if act else fresh, results, batch_id)
         finally:
             first.unpersist()
-        done = spark.read.schema(f"{key} {key_type}").parquet(f"{results}/batch={batch_id}")
-        entries = done.withColumn("phase", F.lit("Unknown"))
-        write_batch(entries, f"{path}/ledger/stream={stream}", batch_id)
+        written = spark.read.parquet(f"{results}/batch={batch_id}")
+        entries = written.select(F.col(key).alias("key"), F.lit("Unknown").alias("phase"))
+        write_batch(entries, ledger, batch_id)
+        compact(spark, results, written.schema, lambda rows: rows, batch_id, every)
+        compact_ledger(spark, ledger, key_type, batch_id, every)
 
     return start(events.writeStream.foreachBatch(process), checkpoint, once)
 

@@ -130,17 +130,15 @@ def test_action_result_is_what_counts(spark, folder):
     assert once(spark, folder, "c") == [("a", 1), ("b", 9)]
 
 
-def test_history_is_bounded_state(spark, folder):
+def test_history_is_bounded(spark, folder):
     schema = "test_name string, id long, duration double"
     source, out = folder + "/in", folder + "/out"
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
         stream_history(stream, "test_name", ["id"], out, folder + "/c", n=3).awaitTermination()
-        rows = jobs.read_batches(spark, out, schema)
-        last = rows.groupBy("test_name").agg(F.max("batch").alias("batch"))
         found = {}
-        for r in rows.join(last, ["test_name", "batch"]).collect():
+        for r in current_history(spark, out, "test_name", schema, ["id"], 3).collect():
             found.setdefault(r.test_name, []).append(r.id)
         return {key: sorted(ids) for key, ids in found.items()}
 
@@ -149,6 +147,9 @@ def test_history_is_bounded_state(spark, folder):
     assert run() == {"hot": [1995, 1997, 1999], "a": [1]}
     files(spark, source, [("hot", 1996, 50.0), ("a", 3, 31.0), ("a", 2, 1.0)], schema)
     assert run() == {"hot": [1996, 1997, 1999], "a": [1, 3]}
+    # a batch keeps three runs of a key, however many it has
+    kept = jobs.read_batches(spark, out, schema).groupBy("batch", "test_name").count()
+    assert kept.agg(F.max("count")).first()[0] == 3
 
 
 def test_history_keeps_null_keys_and_exact_orders(spark, folder):
@@ -159,7 +160,7 @@ def test_history_keeps_null_keys_and_exact_orders(spark, folder):
         files(spark, source, rows, schema)
         stream = spark.readStream.schema(schema).parquet(source)
         stream_history(stream, "test_name", ["id"], out, folder + "/c", n=2).awaitTermination()
-    found = {tuple(r) for r in current_history(spark, out, "test_name", schema).collect()}
+    found = {tuple(r) for r in current_history(spark, out, "test_name", schema, ["id"], 2).collect()}
     assert found == {(None, big, 40.0), (None, big - 2, 43.0), ("a", None, 42.0), ("b", 1, 44.0)}
 
 

@@ -40,6 +40,8 @@ RECURS = 2
 #: Ids that leave a task at once; only a longer single text exceeds it.
 OUT = 1 << 18
 
+CHANGED = "the texts were not the same when they were read again"
+
 #: Characters below this one are split by the standard library, which is faster.
 _PLAIN_END = 0x250
 #: The planes that hold characters; the others are unassigned or private.
@@ -196,6 +198,7 @@ def _numbered(batches, split: Splitter, head: dict[str, int]):
             numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
             check = zlib.crc32(numbers, check)
             rows.append((doc_id, numbers))
+        check = zlib.crc32("\0".join(known.rare).encode(), check)
         yield (part << 44) + (nth << 24) + (check & 0xFFFFFF), rows, known.rare
 
 
@@ -229,16 +232,6 @@ def _encode_words(words: pa.Array, encoding: tiktoken.Encoding, kind: str) -> pa
     return pa.array(ids, pa.binary()).take(coded.indices)
 
 
-class Vocabulary:
-    """What tasks need to know of a tokenizer: its ranks, its pattern and the encoded head."""
-
-    def __init__(self, ranks: dict[bytes, int], split: Splitter):
-        self.ranks, self.split = ranks, split
-        self.kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
-        self.head: dict[str, int] = {}
-        self.head_ids: list[bytes] = []
-
-
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -261,41 +254,34 @@ def frequent_words(docs: DataFrame, split: Splitter, limit: int = HEAD) -> list[
     return [r.word for r in top.select("word").collect()]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, head: int = HEAD) -> DataFrame:
-    """The ids of every text of ``docs (doc_id, text, ...)`` as the tokenizer library gives them.
-
-    ``ranks`` is a file of token ranks, ``pattern`` splits texts into words.
-    Returns a row ``doc_id, ids`` per row of ``docs``; a null or empty text has
-    no ids, a null or repeated ``doc_id`` stays as it is, other columns are
-    ignored and an empty table gives no rows. Special tokens are ordinary text.
-
-    ``docs`` is read three times and must give the same rows in the same tasks
-    each time, as a table in files does; otherwise the job ends with an error.
-    """
-    spark = docs.sparkSession
+def _encoded(docs: DataFrame, ranks: str, pattern: str, head: int, tables: dict[str, list[bytes]] | None) -> DataFrame:
+    """The ids of every text, or what each of ``tables`` holds for them, put together."""
     docs = _named(docs)
-    vocabulary = Vocabulary(read_ranks(ranks), Splitter(pattern))
-    words = frequent_words(docs, vocabulary.split, head)
-    vocabulary.head = {w: i for i, w in enumerate(words)}
-    encoding = whole_word_encoding(vocabulary.ranks)
-    vocabulary.head_ids = [np.array(i, vocabulary.kind).tobytes() for i in map(encoding.encode_ordinary, words)]
-    shared = spark.sparkContext.broadcast(vocabulary)
+    send = docs.sparkSession.sparkContext.broadcast
+    by_token, split = read_ranks(ranks), Splitter(pattern)
+    kind = "<u2" if max(by_token.values()) < 1 << 16 else "<u4"
+    words = frequent_words(docs, split, head)
+    head_ids = [np.array(i, kind) for i in map(whole_word_encoding(by_token).encode_ordinary, words)]
+    # a task gets the words or their ids, whichever it works with
+    numbering = send((split, {w: i for i, w in enumerate(words)}))
+    known_ids = send((np.concatenate([*head_ids, np.zeros(0, kind)]), np.cumsum([0, *map(len, head_ids)])))
+    tokens = send(by_token)
+    joined = None if tables is None else send(tables)
+    n_head = len(words)
+    del words, head_ids
 
     def rare(batches):
-        known = shared.value
-        for chunk, _, words in _numbered(batches, known.split, known.head):
+        for chunk, _, words in _numbered(batches, *numbering.value):
             for at in range(0, len(words), 10_000):
                 part = words[at : at + 10_000]
-                numbers = np.arange(at, at + len(part), dtype=np.int32) + len(known.head)
+                numbers = np.arange(at, at + len(part), dtype=np.int32) + n_head
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part, pa.string()), pa.array(np.full(len(part), chunk)), pa.array(numbers)], names=["word", "chunk", "number"]
                 )
 
     def texts(batches):
-        known = shared.value
-
         def rows():
-            for chunk, held, _ in _numbered(batches, known.split, known.head):
+            for chunk, held, _ in _numbered(batches, *numbering.value):
                 for doc_id, numbers in held:
                     yield chunk, None, doc_id, len(numbers), _packed(numbers)
 
@@ -303,50 +289,69 @@ def encode(docs: DataFrame, ranks: str, pattern: str, head: int = HEAD) -> DataF
         yield from _batched(rows(), ["chunk", "number", "doc_id", "n_words", "value"], types, lambda row: 64 + len(row[4]))
 
     def encode_rare(batches):
-        known = shared.value
-        encoding = whole_word_encoding(known.ranks)
+        encoding = whole_word_encoding(tokens.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("number"), _encode_words(batch.column("word"), encoding, known.kind)],
+                [batch.column("chunk"), batch.column("number"), _encode_words(batch.column("word"), encoding, kind)],
                 names=["chunk", "number", "value"],
             )
 
     def place(batches):
-        known = shared.value
-        width = np.dtype(known.kind).itemsize
-        first = np.frombuffer(b"".join(known.head_ids), known.kind)
-        ends = np.cumsum([0, *map(len, known.head_ids)]) // width
-
-        def rows():
-            here, flat, starts, rare_ids = None, None, None, []
-            for batch in batches:
-                columns = [batch.column(c) for c in ("chunk", "number", "doc_id", "n_words", "value")]
-                for chunk, number, doc_id, n_words, value in zip(*(c.to_pylist() for c in columns)):
-                    if chunk != here:
-                        here, flat, rare_ids = chunk, None, []
-                    if number is not None:
-                        if number != len(known.head) + len(rare_ids):
-                            raise RuntimeError("the texts were not the same when they were read again")
-                        rare_ids.append(value)
-                        continue
-                    if flat is None:
-                        flat = np.concatenate([first, np.frombuffer(b"".join(rare_ids), known.kind)])
-                        starts = np.concatenate([ends, ends[-1] + np.cumsum(list(map(len, rare_ids)), dtype=np.int64) // width])
-                    numbers = _unpacked(value, n_words)
-                    if n_words and int(numbers.max()) >= len(starts) - 1:
-                        raise RuntimeError("the texts were not the same when they were read again")
-                    yield doc_id, _gather(flat, starts, numbers)
-
-        for ids, values in _held(rows()):
-            places = np.cumsum([0, *map(len, values)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(values).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), listed], names=["doc_id", "ids"])
-
+        first, ends = known_ids.value
+        spelled = None if joined is None else _flat(joined.value)
+        for doc_ids, ids in _held(_placed(batches, first, ends)):
+            places = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            if spelled is None:
+                made = [pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(ids).astype(np.int32)))]
+            else:
+                made = [pa.array(np.diff(places).astype(np.int64)), *_spelled(spelled, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *made], names=names)
+
+    names = ["doc_id", "ids"] if tables is None else ["doc_id", "n_tokens", *tables]
+    schema = "doc_id long, ids array<int>" if tables is None else ", ".join(["doc_id long, n_tokens long", *[f"{n} binary" for n in tables]])
     found = docs.mapInArrow(rare, "word string, chunk long, number int").repartition("word").sortWithinPartitions("word")
     found = found.mapInArrow(encode_rare, "chunk long, number int, value binary")
     held = docs.mapInArrow(texts, "chunk long, number int, doc_id long, n_words long, value binary")
     together = held.unionByName(found, allowMissingColumns=True).repartition("chunk")
-    return together.sortWithinPartitions("chunk", F.col("number").asc_nulls_last()).mapInArrow(place, "doc_id long, ids array<int>")
+    return together.sortWithinPartitions("chunk", F.col("number").asc_nulls_last()).mapInArrow(place, schema)
+
+
+def _placed(batches, first: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+    """``(doc_id, ids)`` of the texts of a task; the ids of a chunk's rare words come before its texts."""
+    n_head = len(ends) - 1
+    here, flat, starts, rare_ids = None, None, None, []
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        columns = [batch.column(c) for c in ("chunk", "number", "doc_id", "n_words", "value")]
+        for chunk, number, doc_id, n_words, value in zip(*(c.to_pylist() for c in columns)):
+            if chunk != here:
+                here, flat, rare_ids = chunk, None, []
+            if number is not None:
+                if number != n_head + len(rare_ids):
+                    raise RuntimeError(CHANGED)
+                rare_ids.append(value)
+                continue
+            if flat is None:
+                flat = np.concatenate([first, np.frombuffer(b"".join(rare_ids), first.dtype)])
+                starts = np.concatenate([ends, ends[-1] + np.cumsum(list(map(len, rare_ids)), dtype=np.int64) // first.itemsize])
+            numbers = _unpacked(value, n_words)
+            if n_words and int(numbers.max()) >= len(starts) - 1:
+                raise RuntimeError(CHANGED)
+            yield doc_id, _gather(flat, starts, numbers)
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, head: int = HEAD) -> DataFrame:
+    """The ids of every text of ``docs (doc_id, text, ...)`` as the tokenizer library gives them.
+
+    ``ranks`` is a file of token ranks, ``pattern`` splits texts into words.
+    Returns a row ``doc_id, ids`` per row of ``docs``; a null or empty text has
+    no ids, a null or repeated ``doc_id`` stays as it is, other columns are
+    ignored and an empty table gives no rows. Special tokens are ordinary text.
+
+    ``docs`` is read three times and must give the same rows in the same tasks
+    each time, as a table in files does; otherwise the job ends with an error.
+    """
+    return _encoded(docs, ranks, pattern, head, None)
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -373,20 +378,13 @@ def _held(rows) -> Iterator[tuple[list, list]]:
         yield keys, values
 
 
-def _joined(encoded: DataFrame, column: str, tables: dict[str, list[bytes]]) -> DataFrame:
-    """For each table, what it holds for the ids in ``column``, put together as ``binary``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tables)
-    schema = StructType([*encoded.schema.fields, *[StructField(name, BinaryType()) for name in tables]])
+def _flat(tables: dict[str, list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])) for t in tables.values()]
 
-    def join(batches):
-        flat = {n: (np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])) for n, t in shared.value.items()}
-        for batch in batches:
-            ids = batch.column(column)
-            ids = [np.zeros(0, np.int32) if i.values is None else i.values.to_numpy(zero_copy_only=False) for i in ids]
-            made = [pa.array([_gather(*flat[n], i).tobytes() for i in ids], pa.binary()) for n in flat]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *flat])
 
-    return encoded.mapInArrow(join, schema)
+def _spelled(flat: list[tuple[np.ndarray, np.ndarray]], ids: list[np.ndarray]) -> list[pa.Array]:
+    """For each table, what it holds for the ids of every text, put together."""
+    return [pa.array([_gather(*table, i).tobytes() for i in ids], pa.binary()) for table in flat]
 
 
 def _token_bytes(ranks: str) -> list[bytes]:
@@ -400,7 +398,16 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     Every id takes its bytes from the table of tokens, which each task holds; a
     null list has none. An id outside the vocabulary ends the job.
     """
-    return _joined(encoded, "ids", {"decoded": _token_bytes(ranks)})
+    shared = encoded.sparkSession.sparkContext.broadcast({"decoded": _token_bytes(ranks)})
+    schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
+
+    def join(batches):
+        flat = _flat(shared.value)
+        for batch in batches:
+            ids = [np.zeros(0, np.int32) if i.values is None else i.values.to_numpy(zero_copy_only=False) for i in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_spelled(flat, ids)], names=[*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(join, schema)
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -410,11 +417,8 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     see :func:`encode`.
     """
     tokens = _token_bytes(ranks)
-    numerals = [b"%d " % i for i in range(len(tokens))]
-    rows = _joined(encode(docs, ranks, pattern), "ids", {"decoded": tokens, "listed": numerals})
-    n = F.size("ids").cast("long")
+    tables = {"decoded": tokens, "listed": [b"%d " % i for i in range(len(tokens))]}
+    rows = _encoded(docs, ranks, pattern, HEAD, tables)
     # every numeral brings a space along
-    listed = F.when(n == 0, F.col("listed")).otherwise(F.expr("substring(listed, 1, length(listed) - 1)"))
-    return rows.select(
-        "doc_id", n.alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    listed = F.when(F.col("n_tokens") == 0, F.col("listed")).otherwise(F.expr("substring(listed, 1, length(listed) - 1)"))
+    return rows.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

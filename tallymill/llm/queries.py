@@ -12,9 +12,11 @@ from tallymill.llm import (
     best_fit,
     byte_bpe,
     compact_windows,
+    importance,
     line_templates,
     lsh_forest,
     mixing,
+    phrases,
     quality,
     suffix_arrays,
     syncmers,
@@ -68,6 +70,87 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+_RESAMPLED = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM range(256) AS r(i))
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT side, id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), features AS (
+  SELECT side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words
+), counted AS (SELECT side, id, f, count(*) AS n FROM features GROUP BY ALL
+), bytes AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted)
+), buckets AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS b
+  FROM bytes, crc_table
+), totals AS (
+  SELECT b, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+  FROM counted JOIN buckets USING (f) GROUP BY b
+), sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM totals
+), gains AS (
+  SELECT b, floor(1000 * ln((t::DOUBLE + 1) * (s_all::DOUBLE + 10000) / ((s::DOUBLE + 1) * (t_all::DOUBLE + 10000)))) AS gain FROM totals, sums
+), weights AS (
+  SELECT id, floor(sum(n * gain) / sum(n)) AS weight
+  FROM counted JOIN buckets USING (f) JOIN gains USING (b) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, len(w) + greatest(len(w) - 1, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (id) WHERE side = 'd'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r,
+    count(*) OVER (PARTITION BY n_words >= 20) AS eligible FROM scored
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+  CASE WHEN n_words >= 20 AND r <= 25 * eligible // 100 THEN r END AS rank FROM ranked
+"""
+
+
+@query("op12_importance_resampling", _RESAMPLED)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, range(1, 4) AS r(k)
+), counts AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), found AS (SELECT *, string_split(phrase, ' ') AS s FROM counts WHERE k >= 2 AND f >= 10
+), cuts AS (SELECT *, unnest(range(1, k)) AS j FROM found
+), scores AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts AS c JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(s[1:j], ' ')
+  JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(s[j + 1:], ' ')
+), least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_parts AS (
+  SELECT lang, f, array_to_string(s[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, 3)) AS i FROM found WHERE k = 3)
+), covered AS (SELECT lang, phrase, max(f) AS longer FROM inner_parts GROUP BY ALL
+), ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM least AS l LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR k = 3 OR 100 * longer < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", _COLLOCATIONS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.takes(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
 
 

@@ -12,7 +12,13 @@ from tallymill.operators.reports import monthly_stats, weekday_report
 from tallymill.plans.registry import query, table
 from tallymill.plans.reporting import MONTHS, TRIPS, WEEKDAYS
 from tallymill.session import scratch_path
-from tallymill.sinks.cells import read_wide_column, split_keys, write_wide_column
+from tallymill.sinks.cells import (
+    read_row,
+    read_wide_column,
+    sampled_split_keys,
+    split_keys,
+    write_wide_column,
+)
 from tallymill.sinks.files import (
     overwrite_versioned,
     read_versioned,
@@ -133,6 +139,41 @@ def _table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, name)
 
 
+def _failed_replacement(spark: SparkSession, sf_dir: str) -> str:
+    """A table of orders that a replacement has died on, in the middle of its rows."""
+    name = f"{_schema_name(spark)}.current"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    create_or_replace_table(orders, name)
+    dies = F.when(F.col("o_orderkey") % 100 == 0, F.raise_error(F.lit("lost")).cast("string"))
+    try:
+        create_or_replace_table(orders.withColumn("o_orderstatus", F.coalesce(dies, F.lit("?"))), name)
+    except Exception as error:
+        if "lost" not in str(error):
+            raise
+        return name
+    raise RuntimeError("the replacement was meant to fail")
+
+
+@query("table_replace_failed", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _table_replace_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, _failed_replacement(spark, sf_dir))
+
+
+@query(
+    "table_replace_itself",
+    """SELECT o_orderkey, o_orderstatus || '.' || o_orderkey % 7 AS o_orderstatus FROM orders
+       WHERE o_orderstatus <> 'F'""",
+)
+def _table_replace_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice replaced from its own rows after a failure, the second time with other columns in between."""
+    name = _failed_replacement(spark, sf_dir)
+    rest = F.col("o_orderkey") % 7
+    create_or_replace_table(read_table(spark, name).filter("o_orderstatus <> 'F'").withColumn("rest", rest), name)
+    joined = F.concat("o_orderstatus", F.lit("."), F.col("rest"))
+    create_or_replace_table(read_table(spark, name).select("o_orderkey", joined.alias("o_orderstatus")), name)
+    return read_table(spark, name)
+
+
 def _spread(factor: int, modulus: int, seed: int) -> str:
     return f"((((o_orderkey % {FOLD}) * {factor * STRETCH % FOLD} + {seed}) % {FOLD}) % {modulus})"
 
@@ -210,3 +251,42 @@ def _wide_column_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(key, "c_mktsegment")
     write_wide_column(customers, CUSTOMER_CATALOG, path, regions=5)
     return read_wide_column(spark, path).groupBy("region").agg(F.count("*").alias("cells"))
+
+
+ORDER_CATALOG = json.dumps(
+    {
+        "rowkey": "key",
+        "columns": {
+            "o_orderkey": {"cf": "rowkey", "col": "key", "type": "string"},
+            "o_orderstatus": {"cf": "cf1", "col": "status", "type": "string"},
+        },
+    }
+)
+
+
+@query(
+    "wide_column_quantiles",
+    """WITH k AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus FROM orders)
+       SELECT 'regions' AS what, 5::BIGINT AS n
+       UNION ALL SELECT 'regions beyond twice the share', 0
+       UNION ALL SELECT 'one row', count(*) FROM k WHERE key = (SELECT max(key) FROM k)
+       UNION ALL SELECT 'keys from 2 to 4', count(*) FROM k WHERE key >= '2' AND key <= '4'""",
+)
+def _wide_column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric row keys, which an even division would put into one region."""
+    path = scratch_path(spark, "quantiles")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    splits = sampled_split_keys(orders.select("o_orderkey"), 5)
+    write_wide_column(orders, ORDER_CATALOG, path, splits=splits)
+    per_region = read_wide_column(spark, path).groupBy("region").agg(F.count("*").alias("cells"))
+    share = per_region.agg(F.count("*").alias("n"), (F.sum("cells") / 5).alias("share"))
+    off = (F.col("cells") > 2 * F.col("share")) | (F.col("cells") < F.col("share") / 2)
+    last = orders.agg(F.max(F.col("o_orderkey").cast("string"))).first()[0]
+    counts = [
+        ("regions", share.select("n")),
+        ("regions beyond twice the share", per_region.crossJoin(share).agg(F.count_if(off).alias("n"))),
+        ("one row", read_row(spark, path, last).agg(F.count("*").alias("n"))),
+        ("keys from 2 to 4", read_wide_column(spark, path, "2", "4").agg(F.count("*").alias("n"))),
+    ]
+    found = [df.select(F.lit(what).alias("what"), "n") for what, df in counts]
+    return found[0].union(found[1]).union(found[2]).union(found[3])

@@ -1,5 +1,6 @@
 import subprocess
 import sys
+from bisect import bisect_right
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallymill.session import broadcast_if_small, checkpoint, checkpoint_dir, scratch_path
-from tallymill.sinks.cells import cells, read_wide_column, split_keys, write_wide_column
+from tallymill.sinks.cells import (
+    cells,
+    read_row,
+    read_wide_column,
+    sampled_split_keys,
+    split_keys,
+    write_wide_column,
+)
 from tallymill.sinks.files import (
     overwrite_versioned,
     read_versioned,
@@ -20,6 +28,7 @@ from tallymill.sinks.tables import (
     create_empty_table,
     create_or_replace_table,
     ensure_schema,
+    restore_table,
 )
 from tallymill.sources.files import read_csv, read_manifest, read_parquet, read_table
 from tallymill.sources.generated import generate_records, typed_literals
@@ -105,10 +114,79 @@ def test_tables(spark, folder):
         append_table(df.withColumnRenamed("data", "other"), "shop.items")
     create_or_replace_table(spark.range(3), "shop.items")
     assert read_table(spark, "shop.items").columns == ["id"]
-    assert Path(folder, "shop", "items").exists()
+    assert len(list(Path(folder, "shop", "items.versions").glob("*"))) == 1
+    spark.sql("DROP SCHEMA shop CASCADE")
+
+
+@pytest.fixture
+def shop(spark, folder):
+    spark.sql(f"CREATE SCHEMA shop LOCATION '{folder}/shop'")
+    yield "shop.items"
     spark.sql("DROP SCHEMA shop CASCADE")
 
 
+def held(spark, name):
+    return sorted(tuple(r) for r in read_table(spark, name).collect())
+
+
+def lost(df):
+    return df.withColumn("id", F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+
+
+@pytest.mark.parametrize("managed", [True, False])
+def test_a_failed_replacement_leaves_the_old_rows(spark, shop, managed, folder):
+    if managed:
+        spark.range(4).write.saveAsTable(shop)
+    else:
+        create_or_replace_table(spark.range(4), shop)
+    for broken in (lost(spark.range(9)), lost(spark.range(9)).withColumn("more", F.lit(1))):
+        with pytest.raises(Exception, match="lost"):
+            create_or_replace_table(broken, shop)
+        assert held(spark, shop) == [(0,), (1,), (2,), (3,)]
+    assert len(list(Path(folder, "shop", "items.versions").glob("[0-9a-f]*"))) == (0 if managed else 1)
+
+
+@pytest.mark.parametrize("step", ["ALTER TABLE shop.items SET LOCATION", "createTable"])
+def test_a_replacement_that_dies_on_its_last_step(spark, shop, step, monkeypatch):
+    create_or_replace_table(spark.range(4), shop)
+    rows = spark.range(2) if step.startswith("ALTER") else spark.range(2).withColumn("more", F.lit(1))
+    with monkeypatch.context() as patch:
+        if step == "createTable":
+            patch.setattr(type(spark.catalog), "createTable", lambda *a, **k: 1 / 0)
+        else:
+            sql = spark.sql
+            patch.setattr(type(spark), "sql", lambda self, text, *a, **k: 1 / 0 if text.startswith(step) else sql(text, *a, **k))
+        with pytest.raises(ZeroDivisionError):
+            create_or_replace_table(rows, shop)
+    assert held(spark, shop) == [(0,), (1,), (2,), (3,)]
+    create_or_replace_table(rows, shop)
+    assert len(held(spark, shop)) == 2
+
+
+def test_a_table_whose_process_ended_between_two_steps(spark, shop):
+    create_or_replace_table(spark.range(4), shop)
+    spark.sql(f"ALTER TABLE {shop} RENAME TO shop.items__replaced")
+    assert restore_table(spark, shop) and not restore_table(spark, shop)
+    assert held(spark, shop) == [(0,), (1,), (2,), (3,)]
+    spark.sql(f"ALTER TABLE {shop} RENAME TO shop.items__replaced")
+    create_or_replace_table(spark.range(1), shop)
+    assert held(spark, shop) == [(0,)] and not spark.catalog.tableExists("shop.items__replaced")
+
+
+def test_a_table_replaced_from_itself(spark, shop, folder):
+    create_or_replace_table(spark.range(4), shop)
+    for n in (4, 5, 6):
+        reader = read_table(spark, shop)
+        create_or_replace_table(read_table(spark, shop).union(spark.range(n, n + 1)), shop)
+        # who has begun to read goes on with the rows of then
+        assert reader.count() == n and len(held(spark, shop)) == n + 1
+    append_table(spark.range(7, 8), shop)
+    assert [r[0] for r in held(spark, shop)] == list(range(8))
+    assert len(list(Path(folder, "shop", "items.versions").glob("[0-9a-f]*"))) == 2
+    create_or_replace_table(read_table(spark, shop).select(F.col("id").alias("n")), shop, "json")
+    assert read_table(spark, shop).columns == ["n"] and len(held(spark, shop)) == 8
+
+
 CATALOG = """{"table": {"namespace": "default", "name": "t"}, "rowkey": "key", "columns": {
   "key": {"cf": "rowkey", "col": "key", "type": "string"},
   "value": {"cf": "cf1", "col": "value", "type": "string"},
@@ -129,6 +207,52 @@ def test_cells(spark, folder):
     ]
 
 
+KEYED = """{"rowkey": "key", "columns": {"key": {"cf": "rowkey", "col": "key", "type": "string"},
+  "value": {"cf": "cf1", "col": "value", "type": "string"}}}"""
+
+
+@pytest.mark.parametrize("sample", [20_000, 900])
+def test_regions_by_the_keys_there_are(spark, folder, sample):
+    numbers = spark.range(6_000).select(F.col("id").cast("string").alias("key"), F.lit("v").alias("value"))
+    # a key that a third of the rows have is one key
+    rows = numbers.union(spark.range(3_000).select(F.lit("17"), F.lit("w")))
+    splits = sampled_split_keys(rows.select("key"), 5, sample)
+    assert splits == sampled_split_keys(rows.repartition(7).select("key"), 5, sample) == sorted(splits)
+    write_wide_column(numbers, KEYED, folder + "/w", splits=splits)
+    sizes = {r.region: r["count"] for r in read_wide_column(spark, folder + "/w").groupBy("region").count().collect()}
+    assert len(sizes) == 5 and all(600 <= n <= 2400 for n in sizes.values())
+
+
+def test_reads_of_keys_open_their_regions_only(spark, folder):
+    numbers = spark.range(3_000).select(F.col("id").cast("string").alias("key"), F.lit("v").alias("value"))
+    splits = sampled_split_keys(numbers.select("key"), 5)
+    write_wide_column(numbers, KEYED, folder + "/w", splits=splits)
+    for key in ("0", "1234", splits[0], splits[-1], "2999", "999"):
+        one = read_row(spark, folder + "/w", key)
+        assert [r.rowkey for r in one.collect()] == [key]
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan
+    # the files of all regions but one may be gone
+    kept = bisect_right(splits, "1234")
+    for region in Path(folder, "w").glob("region=*"):
+        if region.name != f"region={kept}":
+            for file in region.glob("*/*.parquet"):
+                file.write_bytes(b"not read")
+    assert read_row(spark, folder + "/w", "1234").count() == 1
+    low, high = splits[kept - 1], max(f"{n}" for n in range(3_000) if f"{n}" < splits[kept])
+    found = sorted(r.rowkey for r in read_wide_column(spark, folder + "/w", low, high).collect())
+    assert found == sorted(f"{n}" for n in range(3_000) if low <= f"{n}" <= high)
+
+
+def test_splits_of_few_or_no_keys(spark, folder):
+    none = spark.createDataFrame([], "key string, value string")
+    assert sampled_split_keys(none.select("key"), 5) == [] and sampled_split_keys(none.select("key"), 1) == []
+    two = spark.createDataFrame([("b", "x"), ("a", None), (None, "y"), ("b", "z")], "key string, value string")
+    assert sampled_split_keys(two.select("key"), 5) == ["a", "b"]
+    write_wide_column(two, KEYED, folder + "/w", splits=["a", "b"])
+    assert [r.value for r in read_row(spark, folder + "/w", "b").orderBy("value").collect()] == ["x", "z"]
+
+
 def test_split_keys():
     splits = split_keys(5)
     assert len(splits) == 4 and splits == sorted(splits)

@@ -32,7 +32,8 @@ from pyspark.sql.types import MapType, StructType
 from tallymill.operators.apps import not_yet_processed
 from tallymill.session import broadcast_if_small, checkpoint
 
-# How annotations name a layer, and the greatest index.
+# How annotations ask for a merge and name a layer, and the greatest index.
+MERGE_ANNOTATION = "spark-application.template.merge"
 LAYER_ANNOTATION = r"^spark-application\.template\.(\d+)\.name$"
 MAX_INDEX = 255
 #: The layer of the own document, above all layers an annotation can name.
@@ -47,11 +48,26 @@ _PLACE, _ANY, _UNION_BASE = "place", "any", "union_base"
 # --- layers of a document ---------------------------------------------------
 
 
+def merge_switch(annotations: str | Column) -> Column:
+    """Whether an annotation map asks for a merge.
+
+    Without the annotation, or any annotations, nothing is merged. A value other
+    than ``true`` and ``false`` is an error.
+    """
+    switch = F.try_element_at(annotations, F.lit(MERGE_ANNOTATION))
+    bad = F.raise_error(F.concat(F.lit(f"{MERGE_ANNOTATION} must be true or false, not "), switch))
+    return (
+        F.when(switch.isNull(), False).when(switch == "true", True).when(switch == "false", False).otherwise(bad.cast("boolean"))
+    )
+
+
 def order_layers(annotations: str | Column) -> Column:
     """Layer names of an annotation map, in the numeric order of their index.
 
-    An index above 255 is an error, as it is where the annotations are defined.
+    There are none unless the map asks for a merge. An index above 255 is an
+    error, as it is where the annotations are defined, merged or not.
     """
+    annotations = F.col(annotations) if isinstance(annotations, str) else annotations
     entries = F.map_entries(annotations)
     named = F.filter(entries, lambda e: e["key"].rlike(LAYER_ANNOTATION))
 
@@ -63,7 +79,8 @@ def order_layers(annotations: str | Column) -> Column:
     indexed = F.transform(
         named, lambda e: F.struct(index(e).alias("i"), e["key"].alias("k"), e["value"].alias("n"))
     )
-    return F.transform(F.array_sort(indexed), lambda e: e["n"])
+    switched = F.filter(F.array_sort(indexed), lambda e: merge_switch(annotations))
+    return F.transform(switched, lambda e: e["n"])
 
 
 def layer_refs(specs: DataFrame, key: str, refs: str | Column) -> DataFrame:
@@ -219,10 +236,8 @@ def _merge_named(docs: DataFrame, keys: list[str], layer: str, column: str) -> D
         *(F.col(f"_el.{f.name}").alias(f.name) for f in fields),
     )
     rules = {f.name: "fragment" for f in fields}
-    # The name of a key without elements is NULL, and a join does not find that.
-    named = F.coalesce("name", F.lit(""))
     merged = _merge_fragments(
-        elements.withColumn("name", named),
+        elements,
         [*keys, "name"],
         layer,
         {**rules, "_first": _PLACE, "_present": _ANY},
@@ -329,7 +344,8 @@ def merge_once(
     """Merge the keys the ledger does not hold yet and record the layers applied.
 
     The column ``applied`` lists the names of the layers in order, without the
-    own document, which has none. The keys to merge are found and written once,
+    own document, which has none. A document that does not ask for a merge, or
+    whose layers are all missing, stays as it is. The keys to merge are found and written once,
     since the merge reads its input several times.
     """
     fresh = checkpoint(not_yet_processed(docs, ledger, key))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.operators.layers import (
+    MERGE_ANNOTATION,
     OWN_LAYER,
     layered_merge,
     merge_once,
@@ -245,10 +246,12 @@ def _precedence_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- templates of orders ----------------------------------------------------
 
 
-def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def specs(spark: SparkSession, sf_dir: str, switch: Column | None = None) -> DataFrame:
     """Orders as documents that name three layers in annotations, out of order.
 
-    Suppliers are the templates; some of the names do not exist.
+    Suppliers are the templates; some of the names do not exist. All documents
+    ask for a merge unless ``switch`` says otherwise; where it is NULL, they do
+    not mention it.
     """
 
     def supplier(number: Column) -> Column:
@@ -261,13 +264,15 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     annotations = F.create_map(
         annotation(10),
         supplier(key % 7),
-        F.lit("spark-application.template.merge"),
-        F.lit("true"),
+        F.lit(MERGE_ANNOTATION),
+        F.lit("true") if switch is None else switch,
         annotation(9),
         supplier(10 + key % 11),
         annotation(200),
         supplier(F.lit(95) + key % 10_000),
     )
+    if switch is not None:
+        annotations = F.map_filter(annotations, lambda _, v: v.isNotNull())
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
     return orders.select(
         "o_orderkey",
@@ -366,3 +371,30 @@ def _merge_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(
         "o_orderkey", map_text("conf").alias("conf"), F.array_join("applied", ",").alias("applied")
     )
+
+
+@query(
+    "merge_switched_off",
+    f"""WITH {REFS_CTE},
+        used AS (SELECT refs.*, s_nationkey FROM refs JOIN supplier ON s_name = name WHERE o_orderkey % 3 = 0),
+        entries AS (
+          SELECT o_orderkey, layer, 'nation' AS mk, CAST(s_nationkey AS VARCHAR) AS mv FROM used
+          UNION ALL SELECT o_orderkey, layer, name, CAST(s_nationkey AS VARCHAR) FROM used
+          UNION ALL SELECT o_orderkey, 999, 'status', o_orderstatus FROM orders),
+        applied AS (
+          SELECT o_orderkey, string_agg(name, ',' ORDER BY layer) AS applied FROM used GROUP BY 1)
+        SELECT o_orderkey, string_agg(mk || '=' || mv, ',' ORDER BY mk) AS conf, coalesce(any_value(applied), '') AS applied
+        FROM (SELECT o_orderkey, mk, arg_max(mv, layer) AS mv FROM entries GROUP BY o_orderkey, mk)
+        LEFT JOIN applied USING (o_orderkey) GROUP BY o_orderkey""",
+)
+def _merge_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the orders ask for a merge, a third ask for none and a third say nothing."""
+    third = F.col("o_orderkey") % 3
+    own = specs(spark, sf_dir, F.when(third == 0, "true").when(third == 1, "false"))
+    resolved = resolve_layers(own, templates(spark, sf_dir), "o_orderkey", order_layers("annotations"))
+    none = spark.createDataFrame([], "o_orderkey long, phase string")
+    docs = stack_layers(resolved, own.select("o_orderkey", "conf"))
+    merged = merge_once(docs, none, "o_orderkey", "layer", {"conf": "union"})
+    return merged.select(
+        "o_orderkey", map_text("conf").alias("conf"), F.array_join("applied", ",").alias("applied")
+    )

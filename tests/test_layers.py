@@ -6,6 +6,7 @@ from tallymill.operators.layers import (
     OWN_LAYER,
     layered_merge,
     merge_once,
+    merge_switch,
     order_layers,
     precedence_stack,
     resolve_layers,
@@ -155,6 +156,7 @@ def test_layers_in_numeric_order(spark):
         "spark-application.template.9.name": "nine",
         "spark-application.template.merge": "true",
         "x.spark-application.template.1.name": "no",
+        "spark-application.template.merge": "true",
         "spark-application.template.255.name": "last",
     })
     assert df.select(order_layers("annotations")).first()[0] == ["nine", "ten", "last"]
@@ -168,6 +170,55 @@ def test_index_out_of_range(spark, index):
         df.select(order_layers("annotations")).collect()
 
 
+@pytest.mark.parametrize("switch, layers", [("true", ["one"]), ("false", []), (None, [])])
+def test_merge_switch(spark, switch, layers):
+    annotations = {"spark-application.template.1.name": "one"}
+    if switch:
+        annotations["spark-application.template.merge"] = switch
+    df = annotated(spark, annotations)
+    assert df.select(order_layers("annotations")).first()[0] == layers
+    assert df.select(merge_switch("annotations")).first()[0] == (switch == "true")
+
+
+@pytest.mark.parametrize("switch", ["True", "yes", "", " true"])
+def test_a_bad_merge_switch(spark, switch):
+    df = annotated(spark, {"spark-application.template.1.name": "one", "spark-application.template.merge": switch})
+    with pytest.raises(PySparkException, match="must be true or false"):
+        df.select(order_layers("annotations")).collect()
+
+
+def test_no_merge_without_the_switch(spark):
+    schema = "app string, annotations map<string,string>, conf map<string,string>"
+    name = {"spark-application.template.1.name": "a"}
+    rows = [
+        ("on", {**name, "spark-application.template.merge": "true"}, {"k": "own"}),
+        ("off", {**name, "spark-application.template.merge": "false"}, {"k": "own"}),
+        ("none", name, {"k": "own"}),
+        ("null", None, {"k": "own"}),
+        ("gone", {"spark-application.template.1.name": "?", "spark-application.template.merge": "true"}, {"k": "own"}),
+    ]
+    specs = spark.createDataFrame(rows, schema)
+    templates = spark.createDataFrame([("a", {"k": "t", "more": "t"})], "name string, conf map<string,string>")
+    docs = stack_layers(resolve_layers(specs, templates, "app", order_layers("annotations")), specs.select("app", "conf"))
+    none = spark.createDataFrame([], "app string, phase string")
+    merged = merge_once(docs, none, "app", "layer", {"conf": "union"})
+    found = {r.app: (r.conf, r.applied) for r in merged.collect()}
+    assert found.pop("on") == ({"k": "own", "more": "t"}, ["a"])
+    assert found == {app: ({"k": "own"}, []) for app in ("off", "none", "null", "gone")}
+
+
+def test_elements_without_a_name_are_not_those_with_an_empty_one(spark):
+    schema = "app string, layer int, boxes array<struct<name:string,image:string,port:int>>"
+    rows = [
+        ("x", 1, [(None, "base", 1), ("", "empty", 2)]),
+        ("x", 2, [("", None, 3), (None, "over", None), ("b", "new", None)]),
+        ("y", 1, []), ("z", 1, None),
+    ]
+    merged = layered_merge(spark.createDataFrame(rows, schema), "app", "layer", {"boxes": "named"})
+    found = {r.app: None if r.boxes is None else [tuple(b) for b in r.boxes] for r in merged.collect()}
+    assert found == {"x": [(None, "over", 1), ("", "empty", 3), ("b", "new", None)], "y": [], "z": None}
+
+
 def test_missing_layers(spark):
     specs = spark.createDataFrame([("x", ["a", "gone", "b"])], "app string, refs array<string>")
     templates = spark.createDataFrame([("a", 1), ("b", 2)], "name string, v int")

@@ -313,6 +313,33 @@ def _pattern_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pattern_log(spark, path).select(clock, "level", "thread", "logger", "message")
 
 
+TRACE = ["java.lang.IllegalStateException: no stock", "\tat Shop.sell(Shop.java:12)", "\tat Shop.run(Shop.java:34)"]
+
+
+@query(
+    "pattern_log_traces",
+    f"""SELECT event_id, {LEVEL} AS level, 'event ' || event_id
+               || CASE WHEN event_type = 'error' THEN {' || '.join(f"chr(10) || '{line}'" for line in TRACE)}
+                       ELSE '' END AS message
+        FROM events""".replace("\t", "' || chr(9) || '"),
+)
+def _pattern_log_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error is followed by the lines of a stack trace."""
+    path = scratch_path(spark, "traces")
+    head = F.concat(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss,SSS"),
+        F.lit(" "),
+        F.expr(LEVEL),
+        F.expr("' [user-' || user_id || '] shop.' || event_type || ' - event ' || event_id"),
+    )
+    trace = F.lit("".join(f"\n{line}" for line in TRACE))
+    line = F.when(F.col("event_type") == "error", F.concat(head, trace)).otherwise(head)
+    table(spark, sf_dir, "events").select(line).write.text(path)
+    events = read_pattern_log(spark, path)
+    event_id = F.regexp_extract("message", r"^event (\d+)", 1).cast("long").alias("event_id")
+    return events.select(event_id, "level", "message")
+
+
 def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scrape with a comment above each sample."""
     lines = F.array(

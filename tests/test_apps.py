@@ -15,6 +15,7 @@ from tallymill.operators.apps import (
     orphans,
 )
 from tallymill.operators.reports import anomaly_scores, monthly_stats, weekday_report, word_count
+from tallymill.functions.blocks import unpacked
 from tallymill.sources.logs import parse_prometheus, read_event_log
 
 
@@ -107,6 +108,61 @@ def test_real_event_log(spark, tmp_path):
     assert apps[0].app_name == "real" and apps[0].completed and apps[0].log == apps[0].app_id
 
 
+@pytest.mark.parametrize("codec", ["lz4", "snappy", "lzf"])
+def test_block_framed_event_logs(spark, tmp_path, codec):
+    """What Spark's own codec has written, whole and cut off in the middle of a block."""
+    kind = {"lz4": "LZ4", "snappy": "Snappy", "lzf": "LZF"}[codec]
+    jvm = spark._jvm
+    lines = [start("app-1", 1000)] + ['{"Event":"SparkListenerJobStart","Job ID":%d,"é":"%s"}' % (i, "x" * (i % 50)) for i in range(9000)]
+    lines.append(END % 5000)
+    conf = jvm.org.apache.spark.SparkConf()
+    writer = getattr(jvm.org.apache.spark.io, f"{kind}CompressionCodec")(conf)
+    raw = jvm.java.io.ByteArrayOutputStream()
+    out = writer.compressedOutputStream(raw)
+    out.write(bytearray("".join(f"{line}\n" for line in lines).encode()))
+    out.close()
+    data = bytes(raw.toByteArray())
+    assert unpacked(data, codec).decode().splitlines() == lines
+    assert unpacked(data + data, codec).decode().splitlines() == 2 * lines
+    begun = unpacked(data[: len(data) // 2], codec)
+    assert begun and "".join(f"{line}\n" for line in lines).encode().startswith(begun)
+    assert unpacked(b"", codec) == b""
+    (tmp_path / f"app-1.{codec}").write_bytes(data)
+    (tmp_path / f"app-2.{codec}.inprogress").write_text(start("app-2", 2000) + "\n")
+    (tmp_path / f"empty.{codec}").write_bytes(b"")
+    log = read_event_log(spark, str(tmp_path))
+    assert log.where("log = 'app-1'").count() == len(lines)
+    apps = {r.log: (r.start_ms, r.end_ms) for r in list_applications(log).collect()}
+    assert apps["app-1"] == (1000, 5000)
+
+
+def test_compacted_rolling_logs(spark, tmp_path):
+    def write(app, name, *lines):
+        folder = tmp_path / f"eventlog_v2_{app}"
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text("".join(f"{line}\n" for line in lines))
+
+    write("a", "events_1_a", start("a", 1), '{"Event":"old"}')
+    write("a", "events_2_a", '{"Event":"old"}')
+    write("a", "events_2_a.compact", start("a", 1))
+    write("a", "events_3_a", '{"Event":"new"}')
+    write("a", "events_10_a", END % 9)
+    # an earlier compaction whose files are not gone yet
+    write("b", "events_1_b.compact", start("b", 1), '{"Event":"old"}')
+    write("b", "events_2_b", '{"Event":"old"}')
+    write("b", "events_11_b.compact", start("b", 1), '{"Event":"kept"}')
+    write("b", "events_12_b.compact.x", '{"Event":"no rolled file"}')
+    write("c", "events_1_c", start("c", 1))
+    log = read_event_log(spark, str(tmp_path))
+    found = {}
+    for r in log.collect():
+        found.setdefault(r.log, []).append(r.event)
+    assert sorted(found["a"]) == ["SparkListenerApplicationEnd", "SparkListenerApplicationStart", "new"]
+    assert sorted(found["b"]) == ["SparkListenerApplicationStart", "kept", "no rolled file"]
+    assert {r.log: r.end_ms for r in list_applications(log).collect()} == {"a": 9, "b": None, "c": None}
+    assert expired_applications(log, 0, F.lit(datetime(2100, 1, 1))).count() == 3
+
+
 def test_expired(spark, logs):
     log = read_event_log(spark, logs)
     later = F.lit(datetime(2100, 1, 1))

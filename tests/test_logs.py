@@ -1,4 +1,6 @@
+import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,11 +155,10 @@ def test_pattern_log(spark, tmp_path):
     (tmp_path / "log").write_text(
         "2024-01-02T03:04:05,678 INFO [main [x]] a.B - started - ok\n\tat a.B(line)\n"
     )
-    rows = read_pattern_log(spark, str(tmp_path)).orderBy(F.col("ts").isNull()).collect()
-    assert rows[0][:5] == (
-        datetime(2024, 1, 2, 3, 4, 5, 678000), "INFO", "main [x]", "a.B", "started - ok",
+    (row,) = read_pattern_log(spark, str(tmp_path)).collect()
+    assert row[:5] == (
+        datetime(2024, 1, 2, 3, 4, 5, 678000), "INFO", "main [x]", "a.B", "started - ok\n\tat a.B(line)",
     )
-    assert rows[1][:5] == (None,) * 5 and rows[1].value == "\tat a.B(line)"
 
 
 def test_pattern_log_with_line_breaks_in_a_value(spark):
@@ -203,3 +204,59 @@ def test_a_repeated_label_counts_once(spark, tmp_path):
     rows = {r.name: r for r in read_prometheus(spark, str(tmp_path)).collect()}
     assert rows["m"].labels == {"a": "2", "b": 'x"y'}
     assert rows["n"].value == 4 and not rows["n"].labels
+
+
+HEAD = "2024-01-01T10:00:{:02d},000 ERROR [main] a.B - event {}"
+
+
+def assembled(texts, longest):
+    """What the lines of each file make up, one after the other."""
+    out = []
+    for text in texts:
+        event = None
+        for line in text.splitlines():
+            if line.startswith("2024"):
+                event = [line]
+                out.append(event)
+            elif event is not None and len(event) <= longest:
+                event.append(line)
+            else:
+                out.append([line])
+    return sorted("\n".join(e) for e in out)
+
+
+@pytest.mark.parametrize("split", [40, 97, 1000, 10**6])
+def test_stack_traces_join_their_event(spark, folder, split):
+    rnd = random.Random(split)
+    texts = ["\tat nothing\nno head at all\n" * 30, "", "only one line", HEAD.format(1, "single")]
+    for _ in range(6):
+        lines = [f"early {i}" for i in range(rnd.choice([0, 0, 3]))]
+        for i in range(rnd.randint(0, 25)):
+            lines.append(HEAD.format(i, i))
+            lines += [rnd.choice(["\tat A.b(A.java:1)", "Caused by: é", "", "  " * 40]) for _ in range(rnd.choice([0, 0, 0, 1, 3, 40]))]
+        texts.append("\n".join(lines) + rnd.choice(["", "\n"]))
+    Path(folder, "logs").mkdir()
+    for n, text in enumerate(texts):
+        Path(folder, "logs", f"{n}.log").write_text(text)
+    names = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
+    try:
+        events = read_pattern_log(spark, folder + "/logs").collect()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert sorted(e.value for e in events) == assembled(texts, 10**9)
+    for e in events:
+        if e.value.startswith("2024"):
+            assert e.level == "ERROR" and e.message == e.value.split(" - ", 1)[1] and e.ts is not None
+        else:
+            assert (e.ts, e.level, e.message) == (None, None, None)
+
+
+def test_an_endless_trace_is_cut_and_not_lost(spark, folder):
+    text = "\n".join([HEAD.format(1, 1)] + [f"line {i}" for i in range(50)] + [HEAD.format(2, 2), "x"])
+    Path(folder, "a.log").write_text(text)
+    found = sorted(r.value for r in read_pattern_log(spark, folder + "/a.log", longest=7).collect())
+    assert found == assembled([text], 7) and len(found) == 2 + 43

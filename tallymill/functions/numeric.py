@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
+from decimal import Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from tallymill.session import checkpoint
 
@@ -37,9 +38,15 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     """The distinct values ``v`` of a column and how often (``n``) each occurs.
 
     Equal values meet before the shuffle. The result is written once, and every
-    statistic over all values can be taken from it.
+    statistic over all values can be taken from it. Whole numbers and decimals
+    stay what they are; anything else becomes a double.
     """
-    number = F.col(value).cast("double")
+    kind = df.schema[value].dataType
+    number = F.col(value)
+    if isinstance(kind, IntegralType):
+        number = number.cast("decimal(20,0)")
+    elif not isinstance(kind, DecimalType):
+        number = number.cast("double")
     return checkpoint(
         df.filter(number.isNotNull()).groupBy(number.alias("v")).agg(F.count("*").alias("n"))
     )
@@ -49,28 +56,48 @@ def histogram_mean(digits: int | None = None) -> Column:
     """Average over a histogram, as :func:`mean` gives it over the values."""
     n = F.col("n")
     if digits is None:
-        return F.try_divide(F.sum(F.col("v") * n), F.sum(n))
+        return F.try_divide(F.sum(F.col("v").cast("double") * n), F.sum(n))
     unit = F.lit(float(10**digits))
-    units = F.sum(F.rint(F.col("v") * unit).cast("long") * n).cast("double")
+    units = F.sum(F.rint(F.col("v").cast("double") * unit).cast("decimal(20,0)") * n).cast("double")
     return F.try_divide(units / unit, F.sum(n))
 
 
-def histogram_median(values: DataFrame) -> float | None:
+def _even_cuts(low: Decimal, high: Decimal, scale: int) -> list[Decimal]:
+    """Values that divide a range evenly, on the digits a decimal has."""
+    with localcontext(prec=100):
+        unit = Decimal(1).scaleb(-scale)
+        steps = int((high - low) / unit)
+        return sorted({low + unit * (steps * i // _CUTS) for i in range(1, _CUTS)})
+
+
+def histogram_median(values: DataFrame) -> float | Decimal | None:
     """Exact median of a histogram, without a global sort.
 
     Each round cuts the values at approximate quantiles, adds up the counts
     between the cuts and keeps the ranges that hold the middle: about 1/64 of
-    the values, whatever their distribution. The rest is small enough to look at.
+    the values, whatever their distribution. Quantiles are doubles inside Spark;
+    decimals that lie closer together than doubles are cut evenly between the
+    least and the greatest of them, which takes another digit or two each round.
+    The rest is small enough to look at. The median of doubles is a double, that
+    of decimals and whole numbers a decimal without any rounding.
     """
     size, total = values.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if total == 0:
         return None
+    kind = values.schema["v"].dataType
+    scale = kind.scale if isinstance(kind, DecimalType) else None
     first, second = (total - 1) // 2, total // 2
     steps = F.array(*(F.lit(i / _CUTS) for i in range(1, _CUTS)))
+    last = None
     while size > MEDIAN_TAIL_VALUES:
-        cuts = values.agg(F.percentile_approx("v", steps, F.lit(_ACCURACY))).first()[0]
+        if scale is not None and last is not None and size > last / 2:
+            low, high = values.agg(F.min("v"), F.max("v")).first()
+            cuts = [c for c in _even_cuts(low, high, scale) if c < high]
+        else:
+            cuts = values.agg(F.percentile_approx("v", steps, F.lit(_ACCURACY))).first()[0]
+        last = size
         bounds = list(enumerate(sorted(set(cuts))))
-        place = reduce(lambda c, b: c.when(F.col("v") <= b[1], b[0]), bounds, F)
+        place = reduce(lambda c, b: c.when(F.col("v") <= F.lit(b[1]), b[0]), bounds, F)
         ranges = (
             values.groupBy(place.otherwise(len(bounds)).alias("range"))
             .agg(
@@ -87,16 +114,19 @@ def histogram_median(values: DataFrame) -> float | None:
                 kept.append((below, part))
             below += part.n
         before = kept[0][0]
-        values = values.filter(F.col("v").between(kept[0][1].low, kept[-1][1].high))
+        values = values.filter(F.col("v").between(F.lit(kept[0][1].low), F.lit(kept[-1][1].high)))
         size = sum(part.size for _, part in kept)
         first, second = first - before, second - before
     middle, seen = [], 0
-    for row in sorted(values.collect(), key=lambda r: (math.isnan(r.v), r.v)):
+    for row in sorted(values.collect(), key=lambda r: (r.v != r.v, r.v)):
         middle += [row.v for rank in (first, second) if seen <= rank < seen + row.n]
         seen += row.n
-    return (middle[0] + middle[1]) / 2.0
+    if scale is None:
+        return (middle[0] + middle[1]) / 2.0
+    with localcontext(prec=100):
+        return (middle[0] + middle[1]) / 2
 
 
-def exact_median(df: DataFrame, value: str) -> float | None:
+def exact_median(df: DataFrame, value: str) -> float | Decimal | None:
     """Median of a column over a whole DataFrame; NULLs do not count."""
     return histogram_median(histogram(df, value))

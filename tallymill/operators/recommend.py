@@ -2,35 +2,83 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.operators.numbering import dense_ids
 from tallymill.session import checkpoint
 
+#: Users and items are numbered with so many different numbers at most.
+MAX_IDS = 1 << 31
+
+
+@dataclass
+class Factorisation:
+    """Factors of users and items, under the keys the ratings have."""
+
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
+    report: DataFrame
+
+    def predict(self, pairs: DataFrame) -> DataFrame:
+        """``pairs (user, item, ...)`` with a ``prediction``, NULL for a user or item without ratings."""
+        numbered = pairs.join(self.users, "user", "left").join(self.items, "item", "left")
+        known = F.col("user_id").isNotNull() & F.col("item_id").isNotNull()
+        # the model takes no NULL, so what is unknown borrows a number
+        ids = {c: F.coalesce(c, F.lit(0)).cast("int") for c in ("user_id", "item_id")}
+        scored = self.model.transform(numbered.withColumn("_known", known).withColumns(ids))
+        prediction = F.when(F.col("_known"), F.col("prediction")).alias("prediction")
+        return scored.select(*pairs.columns, prediction)
 
-def factorise(
-    ratings: DataFrame, rank: int = 8, iterations: int = 5, seed: int = 42
-) -> tuple[ALSModel, DataFrame]:
+    def factors(self, side: str) -> DataFrame:
+        """The factors of each ``user`` or ``item``."""
+        found = self.model.userFactors if side == "user" else self.model.itemFactors
+        keys = self.users if side == "user" else self.items
+        return keys.join(found, keys[f"{side}_id"] == found["id"]).select(side, "features")
+
+
+def factorise(ratings: DataFrame, rank: int = 8, iterations: int = 5, seed: int = 42) -> Factorisation:
     """Train factors on ``user``, ``item``, ``rating`` and report the error on them.
 
-    The ratings are read in every iteration and written once for that. The
-    report has one row: number of ratings and root mean square error.
+    Keys may be of any type that has an order: they are numbered densely for the
+    training and put back afterwards. Ratings without a user, item or rating are
+    left out. The ratings are read in every iteration and written once for that.
+    The report has one row: the ratings, users and items, the root mean square
+    error, and the standard deviation of the ratings, which is the error of
+    always predicting their mean.
     """
-    kept = checkpoint(ratings.select("user", "item", F.col("rating").cast("float")))
+    given = checkpoint(ratings.select("user", "item", F.col("rating").cast("float").alias("rating")).dropna())
+    users, items = dense_ids(given, "user", "user_id"), dense_ids(given, "item", "item_id")
+    sizes = [df.count() for df in (users, items)]
+    if max(sizes) > MAX_IDS:
+        raise ValueError(f"{sizes[0]} users and {sizes[1]} items; at most {MAX_IDS} of each can be numbered")
+    kept = checkpoint(
+        given.join(users, "user").join(items, "item").select(
+            F.col("user_id").cast("int"), F.col("item_id").cast("int"), "rating"
+        )
+    )
     als = ALS(
         rank=rank,
         maxIter=iterations,
         regParam=0.1,
-        userCol="user",
-        itemCol="item",
+        userCol="user_id",
+        itemCol="item_id",
         ratingCol="rating",
         checkpointInterval=2,
         seed=seed,
     )
     model = als.fit(kept)
-    scored = model.transform(kept)
     error = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction")
-    report = kept.agg(F.count("*").alias("ratings"), F.lit(error.evaluate(scored)).alias("rmse"))
-    return model, report
+    report = kept.agg(
+        F.count("*").alias("ratings"),
+        F.lit(sizes[0]).cast("long").alias("users"),
+        F.lit(sizes[1]).cast("long").alias("items"),
+        F.lit(error.evaluate(model.transform(kept))).alias("rmse"),
+        F.stddev_pop("rating").alias("stddev"),
+    )
+    return Factorisation(model, users, items, report)

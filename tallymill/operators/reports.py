@@ -63,18 +63,21 @@ def monthly_stats(
 
 
 # Steps of the additive recurrence that spreads points evenly over the unit
-# square: 1/g and 1/g^2 for the real root g of g^3 = g + 1.
-STEP_X, STEP_Y = 0.7548776662466927, 0.5698402909980532
+# square, 1/g and 1/g^2 for the real root g of g^3 = g + 1, in parts of a whole
+# turn. Products of two parts fit into 64 bits.
+CIRCLE = 1 << 31
+STEP_X, STEP_Y = (round(CIRCLE * step) | 1 for step in (0.7548776662466927, 0.5698402909980532))
 
 
 def estimate_pi(points: DataFrame, index: str | Column = "id") -> DataFrame:
     """Four times the share of points that fall into the unit circle.
 
     A point follows from its index, so a task that runs again gives the same one.
+    It is computed in whole numbers, so large indexes are as good as small ones;
+    after 2**31 points the same ones come again.
     """
-    i = F.col(index) if isinstance(index, str) else index
-    x = i * F.lit(STEP_X) - F.floor(i * F.lit(STEP_X))
-    y = i * F.lit(STEP_Y) - F.floor(i * F.lit(STEP_Y))
+    i = F.pmod((F.col(index) if isinstance(index, str) else index).cast("long"), F.lit(CIRCLE))
+    x, y = (i * F.lit(step) % F.lit(CIRCLE) / F.lit(float(CIRCLE)) for step in (STEP_X, STEP_Y))
     inside = F.count_if(x * x + y * y <= 1.0)
     return points.agg(
         F.count("*").alias("points"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tallymill.functions.numeric import histogram, histogram_mean, histogram_median, mean
 from tallymill.functions.text import failed_step, failed_tests, run_namespace
@@ -35,7 +36,7 @@ def min_duration(
     return runs.filter(F.col(duration) >= F.lit(least))
 
 
-def _last(runs: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
+def _last(runs: DataFrame, key: list[str], order: list[Column], n: int, order_columns: list[str]) -> DataFrame:
     """The first n rows per key in an order, cut on the way into the shuffle.
 
     Up to a rank of 1000 Spark does this cut by itself. Beyond that the rows of a
@@ -43,7 +44,8 @@ def _last(runs: DataFrame, key: list[str], order: list[Column], n: int) -> DataF
     """
     if n > WINDOW_GROUP_LIMIT:
         salted = Window.partitionBy(*key, "_salt").orderBy(*order)
-        salt = F.pmod(F.xxhash64(*runs.columns), F.lit(_SALTS))
+        # the order says which rows differ; other columns may be of types without a hash
+        salt = F.pmod(F.xxhash64(*order_columns), F.lit(_SALTS))
         runs = (
             runs.withColumn("_salt", salt)
             .withColumn("_rank", F.row_number().over(salted))
@@ -63,7 +65,7 @@ def last_n(
 ) -> DataFrame:
     """The most recent n rows per key; later entries of ``order`` break ties."""
     keys = [key] if isinstance(key, str) else key
-    return _last(runs, keys, [F.col(c).desc() for c in order], n)
+    return _last(runs, keys, [F.col(c).desc() for c in order], n, order)
 
 
 def runtime_stats(
@@ -88,6 +90,7 @@ def runtime_stats(
         [key],
         [F.col("_kept").isNotNull().desc(), *(F.col(c).desc() for c in order)],
         n,
+        order,
     )
 
     def zero(value: Column) -> Column:
@@ -108,12 +111,20 @@ def overall_runtime(
     """Mean, median, fastest and slowest duration over all keys.
 
     The history is read once, into a histogram; all statistics come from that.
+    For whole numbers and decimals the order statistics are exact decimals, the
+    median with one digit more; for anything else they are doubles.
     """
     values = histogram(history, duration)
+    middle = F.lit(histogram_median(values))
+    kind = values.schema["v"].dataType
+    if isinstance(kind, DecimalType):
+        middle = middle.cast(DecimalType(min(38, kind.precision + 1), min(kind.scale + 1, 37)))
+    else:
+        middle = middle.cast("double")
     return values.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("runs"),
         histogram_mean(digits).alias("mean"),
-        F.lit(histogram_median(values)).cast("double").alias("median"),
+        middle.alias("median"),
         F.min("v").alias("fastest"),
         F.max("v").alias("slowest"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.recommend import factorise
 from tallymill.operators.reports import (
+    CIRCLE,
     STEP_X,
     STEP_Y,
     anomaly_scores,
@@ -17,7 +18,7 @@ from tallymill.operators.reports import (
     word_count,
 )
 from tallymill.plans.registry import query, table
-from tallymill.session import spread
+from tallymill.session import checkpoint, spread
 
 TRIPS = {
     "pickup": "l_shipdate",
@@ -122,8 +123,8 @@ def _ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT count(*) AS points, count(*) FILTER (inside) AS inside,
                4.0::DOUBLE * count(*) FILTER (inside) / count(*) AS pi
         FROM (SELECT x * x + y * y <= 1.0 AS inside FROM (
-                SELECT o_orderkey * {STEP_X}::DOUBLE - floor(o_orderkey * {STEP_X}::DOUBLE) AS x,
-                       o_orderkey * {STEP_Y}::DOUBLE - floor(o_orderkey * {STEP_Y}::DOUBLE) AS y
+                SELECT (o_orderkey % {CIRCLE} * {STEP_X} % {CIRCLE})::DOUBLE / {CIRCLE} AS x,
+                       (o_orderkey % {CIRCLE} * {STEP_Y} % {CIRCLE})::DOUBLE / {CIRCLE} AS y
                 FROM orders))""",
 )
 def _estimate_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,16 +144,37 @@ def _word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_count(documents.select(F.explode(F.split("text", "\n")).alias("value")))
 
 
-@query("factorised_ratings")
-def _factorised_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer has bought of each part."""
     orders = table(spark, sf_dir, "orders")
     lineitem = table(spark, sf_dir, "lineitem")
-    ratings = (
+    return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"))
         .agg(F.sum("l_quantity").alias("rating"))
     )
-    return factorise(ratings)[1]
+
+
+@query("factorised_ratings")
+def _factorised_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorise(_ratings(spark, sf_dir)).report.select("ratings", "rmse")
+
+
+@query(
+    "factorisation_of_keys",
+    """WITH r AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+       SELECT count(*) AS ratings, count(DISTINCT o_custkey) AS users, count(DISTINCT l_partkey) AS items,
+              count(*) AS predicted, true AS better_than_the_mean FROM r""",
+)
+def _factorisation_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers have numbers beyond 32 bits here, and parts are named by text."""
+    ratings = checkpoint(_ratings(spark, sf_dir)).select(
+        (F.col("user") + 3_000_000_000).alias("user"), F.concat(F.lit("part "), "item").alias("item"), "rating"
+    )
+    found = factorise(ratings)
+    predicted = found.predict(ratings.select("user", "item")).agg(F.count("prediction").alias("predicted"))
+    better = (F.col("rmse") < F.col("stddev")).alias("better_than_the_mean")
+    return found.report.crossJoin(predicted).select("ratings", "users", "items", "predicted", better)
 
 
 @query(

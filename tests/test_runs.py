@@ -1,6 +1,7 @@
 import random
 import statistics
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,39 @@ def test_median_over_many_rounds(spark, monkeypatch, shape):
     assert numeric.exact_median(df, "v") == statistics.median(values)
 
 
+BIG = 9007199254740993  # no double has this value
+
+
+@pytest.mark.parametrize("values", [
+    [BIG], [BIG, BIG + 2], [BIG, BIG + 1], [-(2**63), 2**63 - 1, BIG], [BIG + i for i in range(301)],
+    [(i * 7919 % 1009) ** 6 for i in range(1009)] + [BIG] * 900,
+])
+def test_median_of_whole_numbers_is_exact(spark, monkeypatch, values):
+    monkeypatch.setattr(numeric, "MEDIAN_TAIL_VALUES", 5)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    assert numeric.exact_median(df, "v") == statistics.median(map(Decimal, values))
+    row = overall_runtime(df, "v").first()
+    assert (row.runs, row.fastest, row.slowest) == (len(values), min(values), max(values))
+    assert row["median"] == statistics.median(map(Decimal, values))
+
+
+def test_median_of_decimals_that_are_one_double(spark, monkeypatch):
+    """All values lie between two neighbouring doubles, so only even cuts tell them apart."""
+    monkeypatch.setattr(numeric, "MEDIAN_TAIL_VALUES", 5)
+    base = "123456789012345678901234567."
+    values = [Decimal(f"{base}{i:010d}") for i in range(1200)]
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(38,10)").repartition(3)
+    assert numeric.exact_median(df, "v") == Decimal(f"{base}00000005995")
+    assert numeric.exact_median(df.where(F.col("v") != values[0]), "v") == values[600]
+
+
+def test_last_runs_with_maps_beyond_the_limit_of_a_window(spark):
+    rows = [("a", i, {"k": i}) for i in range(3000)]
+    df = spark.createDataFrame(rows, "test_name string, id long, tags map<string,int>").repartition(4)
+    kept = last_n(df, "test_name", ["id"], 1500).collect()
+    assert sorted(r.id for r in kept) == list(range(1500, 3000)) and all(r.tags == {"k": r.id} for r in kept)
+
+
 def test_mean_does_not_depend_on_partitions(spark):
     df = spark.range(10_000).select((F.col("id") * 7919 % 10_007 / 100).alias("v"))
     means = {df.repartition(n).agg(numeric.mean("v", 2)).first()[0] for n in (1, 3, 8)}

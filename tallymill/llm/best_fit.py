@@ -14,6 +14,7 @@ document; it is some thousand rows for natural lengths.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import zlib
 
@@ -32,6 +33,9 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Bytes of text that are encoded at once; only a longer single text exceeds it.
 CHUNK = 1 << 18
+#: The column with the number of a written piece.
+ROW = "_row"
+
 
 class Capacities:
     """A segment tree over capacities that finds the least open one at or above a length."""
@@ -98,6 +102,15 @@ def runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
+def _give_back() -> None:
+    """Return freed memory to the system; the worker lives on beside the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _cutter(path: str, capacity: int, with_ids: bool):
     def cut(batches):
         # there are millions of remembered words and no cycles to collect among them
@@ -106,6 +119,7 @@ def _cutter(path: str, capacity: int, with_ids: bool):
             yield from cut_all(batches)
         finally:
             gc.enable()
+            _give_back()
 
     def cut_all(batches):
         encoder = WordEncoder(path)
@@ -161,22 +175,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Lengths are 1 to ``capacity``. ``pieces`` is read twice and should be a
     written table. Sequences are numbered from 0 and filled without gaps. The
     result is the same in every run. An empty table gives no rows.
+
+    Pieces with ``ids`` need a number of their own in ``ROW``, which is left out
+    of the result: places are found without the ids, which are as large as all
+    other columns together, and are moved once to meet them.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = salts_for(sum(counts.values()))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    ranked = running_total(
-        salted, ["length"], "salt", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.lit(1), "rank"
-    ).select(*pieces.columns, "rank")
+    narrow = [c for c in pieces.columns if c != "ids"]
+    salted = pieces.select(*narrow).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
+    ranked = running_total(salted, ["length"], "salt", order, F.lit(1), "rank").select(*narrow, "rank")
     places = F.broadcast(_places(pieces.sparkSession, runs(counts, capacity)))
     ranked = ranked.join(places, "length")
     run = F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1)
     ranked = ranked.withColumn("run", run).withColumn("nth", F.col("rank") - F.col("run.rank"))
-    return ranked.select(
-        *pieces.columns,
+    placed = ranked.select(
+        *narrow,
         (F.col("run.first") + F.floor(F.col("nth") / F.col("run.each"))).alias("sequence_id"),
         (F.col("run.offset") + F.col("nth") % F.col("run.each") * F.col("length")).alias("offset"),
     )
+    if "ids" not in pieces.columns:
+        return placed
+    return pieces.join(placed.select(ROW, "sequence_id", "offset"), ROW).drop(ROW)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -187,4 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wi
     Only texts of more than ``capacity`` ids are cut. Rows with a null or a
     repeated ``doc_id`` are packed like all others; other columns are ignored.
     """
-    return pack(checkpoint(token_pieces(docs, tokenizer, capacity, with_ids)), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, with_ids)
+    if with_ids:
+        pieces = pieces.withColumn(ROW, F.monotonically_increasing_id())
+    return pack(checkpoint(pieces), capacity)

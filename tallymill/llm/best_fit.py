@@ -14,7 +14,6 @@ document; it is some thousand rows for natural lengths.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import zlib
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.ordering import running_total, salts_for
-from tallymill.llm.text_hashes import chunks
+from tallymill.llm.text_hashes import chunks, give_back
 from tallymill.llm.tokens import WordEncoder
 from tallymill.session import checkpoint
 
@@ -102,15 +101,6 @@ def runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def _give_back() -> None:
-    """Return freed memory to the system; the worker lives on beside the stages that follow."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _cutter(path: str, capacity: int, with_ids: bool):
     def cut(batches):
         # there are millions of remembered words and no cycles to collect among them
@@ -119,7 +109,7 @@ def _cutter(path: str, capacity: int, with_ids: bool):
             yield from cut_all(batches)
         finally:
             gc.enable()
-            _give_back()
+            give_back()
 
     def cut_all(batches):
         encoder = WordEncoder(path)

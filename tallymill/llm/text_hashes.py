@@ -10,6 +10,7 @@ bounded by the longest text and not by an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 #: Bytes of text that are hashed at once; only a longer single text exceeds it.
 CHUNK = 1 << 18
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
@@ -50,6 +53,13 @@ def _power(kind: str, n: int) -> np.ndarray:
     return known[:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on beside what the JVM does next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts behind one another, and where each begins; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -46,9 +46,9 @@ def _leaf(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    lines = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
-    )
+    # hashed and split before the lines part, so that no line carries its text along
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.split(text, "\n").alias("lines"))
+    lines = whole.select("doc_id", "h", F.posexplode("lines").alias("pos", "line"))
     return lines.where(F.regexp_count("line", F.lit(WORD)) > 0).withColumn("leaf", _leaf(F.col("line")))
 
 
@@ -97,29 +97,53 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return out.where((F.col("h") != F.col("first.h")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "h", "pos")
 
 
+def _bitmaps(drops: DataFrame) -> DataFrame:
+    """``doc_id, h, positions, bits``: the lines to drop of each text, as numbers and as bits of 64 lines each."""
+    words = drops.groupBy("doc_id", "h", F.floor(F.col("pos") / 64).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.collect_set("pos").alias("part")
+    )
+    texts = words.groupBy("doc_id", "h").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("by_word"),
+        F.max("at").alias("last"),
+        F.sort_array(F.flatten(F.collect_list("part"))).alias("positions"),
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("by_word", i), F.lit(0)))
+    return texts.select("doc_id", "h", "positions", dense.alias("bits"))
+
+
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs (doc_id, text, ...)`` without lines of recurring templates.
 
     All columns and rows stay; ``text`` loses lines and ``_n_lines`` and
-    ``_dropped`` (an array of line numbers from 0, null if none) are added.
-    Lines end at line feeds. Lines without words are never dropped, those of
-    fewer than ``MIN_WORDS`` words only if they recur word for word. Equal texts count as one when documents are counted, so a document
-    that is copied whole keeps its lines unless others have them too. A null
-    text stays null. Rows with equal ``doc_id`` and text are treated alike. An
-    empty table stays empty.
+    ``_dropped`` (an array of line numbers from 0, null if none) are added, in
+    place of columns of these names. Lines end at line feeds. Lines without words
+    are never dropped, those of fewer than ``MIN_WORDS`` words only if they recur
+    word for word. Equal texts count as one when documents are counted, so a
+    document that is copied whole keeps its lines unless others have them too. A
+    null text stays null. Rows with equal ``doc_id`` and text are treated alike.
+    An empty table stays empty. A line costs the same in a text of any number of
+    lines.
     """
-    drops = recurring_lines(docs).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("pos")).alias("_dropped"))
-    drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), "_dropped")
-    text = F.col("text").cast("string")
-    keyed = docs.join(
-        drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")) & (F.xxhash64(text) == F.col("_drop_h")), "left"
+    drops = _bitmaps(recurring_lines(docs.select(F.col("doc_id"), F.col("text"))))
+    drops = drops.select(F.col("doc_id").alias("drop_id"), F.col("h").alias("drop_h"), "positions", "bits")
+    # a row is one column, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    keyed = rows.join(
+        drops, F.col("row.doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (F.xxhash64(text) == F.col("drop_h")), "left"
     )
     lines = F.split(text, "\n")
+
+    def dropped(at: Column) -> Column:
+        word = F.get("bits", F.floor(at / 64).cast("int"))
+        return F.coalesce(F.getbit(word, at % 64) == 1, F.lit(False))
+
     left = F.filter(
-        F.transform(lines, lambda line, at: F.when(~F.array_contains("_dropped", at), line)), lambda line: line.isNotNull()
+        F.transform(lines, lambda line, at: F.when(~dropped(at), line)), lambda line: line.isNotNull()
     )
-    kept = F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(left, "\n"))
+    kept = F.when(F.col("positions").isNull(), text).otherwise(F.array_join(left, "\n"))
+    own = [c for c in docs.columns if c not in ("_n_lines", "_dropped")]
     return keyed.select(
-        *[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("_n_lines"), "_dropped",
+        *[kept.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own],
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("_n_lines"), F.col("positions").alias("_dropped"),
     )

@@ -401,3 +401,26 @@ def test_top_k(spark, monkeypatch, shard, block):
             assert got[q] == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
     assert set(got) == {q for q, _ in live if q % 100 == 0}
     assert ball_tree.top_k(df.limit(0), 10, 100).count() == 0
+
+
+def test_lines_of_very_long_texts_and_clashing_names(spark):
+    """No line carries its text, and looking a line up does not depend on how many are dropped."""
+    schema = "doc_id long, text string, `a.b` int, _dropped string, row int, drop_id long, bits string, positions int, h int"
+    shared = [f"recurring line number {i} of all texts" for i in range(300)]
+    rows = []
+    for k in range(6):
+        own = [f"w{k}x{i} only here y{k}z{i}" for i in range(20_000)]
+        own[::70] = (shared * 2)[: len(own[::70])]
+        rows.append((k, "\n".join(own), k, "kept?", 1, 2, "b", 3, 4))
+    rows += [(10, None, 7, "x", 1, 2, "b", 3, 4), (None, "a line of its own\n\nx", 8, "x", 1, 2, "b", 3, 4)]
+    out = line_templates.without_recurring_lines(spark.createDataFrame(rows, schema).repartition(2))
+    assert out.columns == ["doc_id", "text", "a.b", "row", "drop_id", "bits", "positions", "h", "_n_lines", "_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[10].text, got[10]["a.b"], got[10]._n_lines, got[None].text) == (None, 7, 0, "a line of its own\n\nx")
+    for k, text, *_ in rows[1:6]:
+        lines = text.split("\n")
+        kept = [line for i, line in enumerate(lines) if i not in set(got[k]._dropped)]
+        assert got[k].text.split("\n") == kept and got[k]._n_lines == 20_000
+        assert not any(line.startswith("recurring") for line in kept)
+    # the first place of each recurring line stays
+    assert sum(line.startswith("recurring") for line in got[0].text.split("\n")) > 0

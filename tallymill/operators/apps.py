@@ -84,25 +84,19 @@ def orphans(events: DataFrame, apps: DataFrame, on: list[str]) -> DataFrame:
     return events.join(broadcast_if_small(apps.select(*on)), on, "left_anti")
 
 
-def list_applications(event_log: DataFrame) -> DataFrame:
-    """One row per application that has started.
-
-    Only the start and end lines are looked at, and a plain search of the text
-    finds almost no others. The end line does not name the application, so the
-    log a line belongs to is the key.
-    """
+def _applications(event_log: DataFrame, *others: Column) -> DataFrame:
+    """One row per log that has a start line, with more aggregates over its lines."""
     start = F.col("event") == APPLICATION_START
     end = F.col("event") == APPLICATION_END
     return (
-        event_log.filter(F.col("value").contains(APPLICATION_EVENT))
-        .filter(start | end)
-        .groupBy("log")
+        event_log.groupBy("log")
         .agg(
             F.max(F.when(start, F.col("app_id"))).alias("app_id"),
             F.max(F.when(start, F.col("app_name"))).alias("app_name"),
             F.max(F.when(start, F.col("user"))).alias("user"),
             F.max(F.when(start, F.col("ts_ms"))).alias("start_ms"),
             F.max(F.when(end, F.col("ts_ms"))).alias("end_ms"),
+            *others,
         )
         .filter("start_ms IS NOT NULL")
         .withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
@@ -110,15 +104,26 @@ def list_applications(event_log: DataFrame) -> DataFrame:
     )
 
 
+def list_applications(event_log: DataFrame) -> DataFrame:
+    """One row per application that has started.
+
+    Only the start and end lines are looked at, and a plain search of the text
+    finds almost no others. The end line does not name the application, so the
+    log a line belongs to is the key.
+    """
+    framing = F.col("event").isin(APPLICATION_START, APPLICATION_END)
+    return _applications(event_log.filter(F.col("value").contains(APPLICATION_EVENT)).filter(framing))
+
+
 def expired_applications(event_log: DataFrame, max_age_ms: int, now: Column) -> DataFrame:
     """The logs a cleaner would remove: not written to for longer than ``max_age_ms``.
 
-    This lists them and deletes nothing.
+    This lists them and deletes nothing. The lines are read once, as the time of
+    a file comes with each of them.
     """
-    written = event_log.groupBy("log").agg(F.max("modified").alias("modified"))
     limit = now - F.make_dt_interval(secs=F.lit(max_age_ms) / F.lit(1000))
-    old = written.filter(F.col("modified") < limit)
-    return list_applications(event_log).join(old, "log", "inner")
+    found = _applications(event_log, F.max("modified").alias("modified"))
+    return found.filter(F.col("modified") < limit)
 
 
 def metric_present(samples: DataFrame, expected: DataFrame) -> DataFrame:

@@ -214,29 +214,6 @@ class Route:
 ROUTE_SCHEMA = "route string, r_container string, r_pod string, r_cluster string, r_suffix string"
 
 
-def default_routes() -> list[Route]:
-    """The routes of a history server and four applications, 28 in all."""
-    # Names of pods, clusters and containers.
-    configs = ["automatic", "custom"]
-    containers = {
-        "spark": ["spark", "job", "vector"],
-        "pyspark": ["spark", "requirements", "vector"],
-    }
-    routes = []
-    for config in configs:
-        pod = f"spark-history-node-{config}-log-config-0"
-        routes += [Route(f"{pod}/{c}", c, pod=pod) for c in ("spark-history", "vector")]
-    for kind, names in containers.items():
-        for config in configs:
-            cluster = f"{kind}-{config}-log-config"
-            for suffix in ("-driver", "-exec-1"):
-                routes += [
-                    Route(f"{cluster}{suffix}/{c}", c, cluster=cluster, pod_suffix=suffix)
-                    for c in names
-                ]
-    return routes
-
-
 def routes_table(spark: SparkSession, routes: Iterable[Route]) -> DataFrame:
     return spark.createDataFrame([astuple(r) for r in routes], ROUTE_SCHEMA)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.logs import Route, default_routes
+from tallymill.operators.logs import Route
 from tallymill.plans.registry import table
 from tallymill.session import spread
 
@@ -124,6 +124,29 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SILENT = Route("silent", "nobody")
 
 
+def default_routes() -> list[Route]:
+    """The routes of a history server and four applications, 28 in all."""
+    # Names of pods, clusters and containers.
+    configs = ["automatic", "custom"]
+    containers = {
+        "spark": ["spark", "job", "vector"],
+        "pyspark": ["spark", "requirements", "vector"],
+    }
+    routes = []
+    for config in configs:
+        pod = f"spark-history-node-{config}-log-config-0"
+        routes += [Route(f"{pod}/{c}", c, pod=pod) for c in ("spark-history", "vector")]
+    for kind, names in containers.items():
+        for config in configs:
+            cluster = f"{kind}-{config}-log-config"
+            for suffix in ("-driver", "-exec-1"):
+                routes += [
+                    Route(f"{cluster}{suffix}/{c}", c, cluster=cluster, pod_suffix=suffix)
+                    for c in names
+                ]
+    return routes
+
+
 def routes() -> list[Route]:
     """All routes and one that no event takes."""
     return [*default_routes(), SILENT]

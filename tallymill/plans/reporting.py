@@ -197,5 +197,6 @@ def _anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select("p_brand", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
     )
-    scored = anomaly_scores(priced, "p_brand", "l_extendedprice", threshold=1.5)
+    # read once for the statistics and once for the rows
+    scored = anomaly_scores(checkpoint(priced), "p_brand", "l_extendedprice", threshold=1.5)
     return scored.withColumn("score", F.round("score", 4))

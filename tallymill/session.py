@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side table may be broadcast.
+#: Rows and bytes up to which a side table may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -79,15 +80,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table may be broadcast; the count stops at ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast, by its rows and by their size as JSON.
+
+    Looking at it stops at ``max_rows + 1`` rows, one more than a small table has.
+    """
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return rows <= max_rows and held <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side table for broadcasting, but only after counting it.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a side table for broadcasting, but only after counting its rows and bytes.
 
     A larger table is returned as it is and takes part in a shuffled join, which
     adaptive execution splits where a key is skewed.
     """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

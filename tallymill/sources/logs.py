@@ -349,7 +349,8 @@ def parse_prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
     """Samples of the text exposition format: name, labels and value.
 
     Comments and empty lines are dropped; other columns are kept. Escaped quotes
-    and backslashes in labels are unescaped.
+    and backslashes in labels are unescaped. A line that is no sample keeps its
+    text in ``raw``, which is NULL otherwise.
     """
     line = F.btrim(F.col(value), F.lit(" \t\r"))
     others = [c for c in lines.columns if c != value]
@@ -370,12 +371,13 @@ def parse_prometheus(lines: DataFrame, value: str = "value") -> DataFrame:
 
     return (
         lines.filter((line != "") & ~line.startswith("#"))
-        .select(*others, F.when(matched, split).alias("_parts"))
+        .select(*others, F.when(matched, split).alias("_parts"), F.when(~matched, line).alias("raw"))
         .select(
             *others,
             part[0].alias("name"),
             F.map_from_entries(last).alias("labels"),
             part[2].try_cast("double").alias("value"),
+            "raw",
         )
     )
 

@@ -9,7 +9,6 @@ from tallymill.functions.text import instant_timestamp
 from tallymill.operators.logs import (
     Route,
     count_per_route,
-    default_routes,
     invariant_violations,
     level_filter,
     log_events,
@@ -18,6 +17,7 @@ from tallymill.operators.logs import (
     silent_routes,
     valid_events,
 )
+from tallymill.plans.rendered import default_routes
 from tallymill.sources.logs import (
     parse_pattern_log,
     read_log4j_xml,
@@ -176,6 +176,7 @@ def test_prometheus(spark, tmp_path):
     assert first.labels == {"application_id": "a,b", "executor_id": "1"} and first.value == 3.5
     assert first.endpoint == "scrape"
     assert rows["jmx_scrape_error"].labels == {} and rows["jmx_scrape_error"].value == 0.0
+    assert rows["jmx_scrape_error"].raw is None and rows[None].raw == "not a metric line"
     assert rows["inf_value"].value == float("inf") and rows["nan_value"].value != 0
 
 

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallymill.session import broadcast_if_small, checkpoint, checkpoint_dir, scratch_path
+from tallymill.session import is_small
 from tallymill.sinks.cells import (
     cells,
     read_row,
@@ -49,16 +50,10 @@ def test_report_is_one_sorted_file(spark, folder):
 
 
 def test_a_large_report_is_in_order_over_its_files(spark, folder):
-    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
-    before = {name: spark.conf.get(name) for name in names}
-    for name in names:
-        spark.conf.set(name, "20kb")
-    try:
-        report = spark.range(0, 20_000, numPartitions=20).select(F.xxhash64("id").alias("n"))
-        write_report_csv(report, folder + "/r", ["n"])
-    finally:
-        for name in names:
-            spark.conf.set(name, before[name])
+    report = spark.range(0, 20_000, numPartitions=20).select(F.xxhash64("id").alias("n"))
+    settings = dict(spark.conf.getAll) if hasattr(spark.conf, "getAll") else None
+    write_report_csv(report, folder + "/r", ["n"], file_bytes=20_000)
+    assert settings is None or dict(spark.conf.getAll) == settings
     files = sorted(parts(folder + "/r"))
     found = [int(x) for f in files for x in f.read_text().splitlines()[1:]]
     assert len(files) > 1 and len(found) == 20_000 and found == sorted(found)
@@ -100,6 +95,26 @@ def test_versioned_overwrite(spark, folder):
     assert read_versioned(spark, folder + "/v").count() == 9
 
 
+def test_old_versions_go_and_no_two_writers_share_one(spark, folder):
+    for n in range(5):
+        reader = read_versioned(spark, folder + "/v") if n else None
+        overwrite_versioned(spark.range(n + 1), folder + "/v")
+        assert reader is None or reader.count() == n
+    assert [p.name for p in sorted(Path(folder, "v").glob("version=*"))] == ["version=3", "version=4"]
+    # another writer is at work on a version; this one takes the next
+    Path(folder, "v", "_claims", "0000000005").write_text("")
+    overwrite_versioned(spark.range(9), folder + "/v")
+    assert Path(folder, "v", "version=6").exists() and not Path(folder, "v", "version=5").exists()
+    assert read_versioned(spark, folder + "/v").count() == 9
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    rows = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.create_map(F.lit("a"), "id").alias("m"))
+    assert is_small(rows) and is_small(rows, 50) and not is_small(rows, 49)
+    assert not is_small(rows, max_bytes=50_000) and is_small(rows, max_bytes=60_000)
+    assert is_small(spark.range(0), 0, 0)
+
+
 def test_tables(spark, folder):
     ensure_schema(spark, "shop", folder + "/shop")
     ensure_schema(spark, "shop", folder + "/shop")

@@ -33,6 +33,7 @@ from tallymill.sinks.tables import (
 )
 from tallymill.sources.files import read_csv, read_manifest, read_parquet, read_table
 from tallymill.sources.generated import FOLD, LETTERS, STRETCH, TEXT_LENGTH, records_for
+from tallymill.sources.manifests import read_large_manifest
 
 TRIP_SCHEMA = "l_shipdate timestamp, l_quantity double, l_discount double, l_extendedprice double"
 
@@ -69,6 +70,17 @@ def _manifest_weekday_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekday_report(read_manifest(spark, f"{path}/list", TRIP_SCHEMA), digits=2, **TRIPS)
 
 
+@query("large_manifest_weekday_report", WEEKDAYS)
+def _large_manifest_weekday_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a manifest that names every file, cut into stretches of a few paths."""
+    path = scratch_path(spark, "manifest")
+    _trips(spark, sf_dir).repartition(40).write.option("header", True).csv(f"{path}/data")
+    names = spark.read.text(f"{path}/data").select(F.col("_metadata.file_path").alias("value")).distinct()
+    names.coalesce(1).write.text(f"{path}/list")
+    trips = read_large_manifest(spark, f"{path}/list", TRIP_SCHEMA, stretch=1 << 10)
+    return weekday_report(trips, digits=2, **TRIPS)
+
+
 @query("parquet_monthly_stats", MONTHS)
 def _parquet_monthly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to Parquet, statistics of what was read back, to Parquet again."""

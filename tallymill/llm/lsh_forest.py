@@ -16,6 +16,10 @@ with a probability of (1 - 0.75**3)**20, about 2e-5.
 Links are confirmed on full shingle sets: first each text with its most similar
 candidate, then all candidates between different components, so that no
 candidate that could join two components goes unread.
+
+Where a region holds more texts than are paired with each other and they are not
+one component by then, its texts go through an exact join, see ``left_pairs``:
+so no bound on neighbours, leaders or parts drops a link.
 """
 
 from __future__ import annotations
@@ -44,6 +48,11 @@ LANES = 120
 FLOOR = 0.55
 #: Bits of the filter for the texts whose sets are read; its size is fixed.
 FILTER_BITS = 1 << 22
+#: Counters for how many texts have a shingle; their number is fixed, and they
+#: decide only the order of shingles.
+COUNTERS = 1 << 16
+#: Texts of a block of the exact join.
+BLOCK = 500
 
 _SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, regions array<long>, orders array<long>, lanes binary"
 
@@ -110,14 +119,17 @@ def _deeper(parts: DataFrame, key) -> DataFrame:
     return small.unionByName(large.join(large.groupBy("key").agg(F.count("*").alias("n")), "key"))
 
 
-def candidates(representatives: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of texts that are neighbours, or leader and member, in a region."""
+def region_places(representatives: DataFrame) -> DataFrame:
+    """The texts of every region that holds more than one, with their number."""
     places = representatives.select(
         "doc_id", F.explode(F.arrays_zip("regions", "orders")).alias("p")
     ).select("doc_id", F.col("p.regions").alias("region"), F.col("p.orders").alias("order"))
     shared = places.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    places = checkpoint(places.join(shared, "region"))
+    return checkpoint(places.join(shared, "region"))
 
+
+def candidates(places: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of texts that are neighbours, or leader and member, in a region."""
     # leaders of the regions whose pairs are not all neighbours
     wide = places.where(F.col("n") > NEIGHBOURS + 1)
     labels = wide.groupBy("region", "order").agg(F.count("*").alias("m"))
@@ -207,11 +219,95 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm, "a long, b long")
 
 
+def _left_texts(places: DataFrame, links: DataFrame) -> DataFrame:
+    """Texts, with their components, of the regions that not all pairs were tried in and that are not one component."""
+    wide = places.where(F.col("n") > NEIGHBOURS + 1).select("doc_id", "region")
+    member = components(links).select(F.col("id").alias("doc_id"), "component")
+    wide = wide.join(member, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = wide.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return checkpoint(wide.join(mixed.select("region"), "region", "left_semi").select("doc_id", "component").distinct())
+
+
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _counts(batches):
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        data, _ = utf8(batch.column("found"))
+        total += np.bincount(_counter(np.frombuffer(data.tobytes(), np.uint64)), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def _prefixes(counts: np.ndarray):
+    """The rarest shingles of each set: two linked sets share one of them."""
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for value in batch.column("found"):
+                found = np.frombuffer(value.as_buffer(), np.uint64)
+                n = len(found)
+                # a partner shares at least 75 of 100 shingles
+                first = n - (3 * n + 3) // 4 + 1
+                rarest = np.lexsort((found, counts[_counter(found)]))[:first]
+                out.append(found[rarest])
+            sizes = np.array([len(x) for x in out], np.int64)
+            if not sizes.sum():
+                continue
+            whole = np.repeat(np.arange(len(out)), sizes)
+            places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [batch.column(c).take(pa.array(whole)) for c in ("doc_id", "component", "n")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out).view(np.int64)), *columns, pa.array(places)],
+                names=["shingle", "doc_id", "component", "n", "place"],
+            )
+
+    return read
+
+
+def left_pairs(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` of ``texts (doc_id, component)`` of different components that may be linked.
+
+    The shingles of all texts have one order, the rare ones first. Two sets
+    with a similarity of 0.75 share a shingle among the first quarter of both, and
+    behind the first that they share there are enough left in both. This holds
+    for any order; one by frequency keeps shingles that many texts share out
+    of the quarter. A shingle all of whose texts are one component
+    makes no pairs, and one of many texts makes them in blocks.
+    """
+    sets = sets.join(texts, "doc_id").withColumn("n", (F.octet_length("found") / 8).cast("long"))
+    counted = sets.select("found").mapInArrow(_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    given = "shingle long, doc_id long, component long, n long, place long"
+    entries = checkpoint(sets.select("doc_id", "component", "n", "found").mapInArrow(_prefixes(counts), given))
+    mixed = entries.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), (F.floor(F.count("*") / BLOCK) + 1).alias("blocks")
+    ).where("low != high").select("shingle", "blocks")
+    entries = entries.join(mixed, "shingle")
+    one = entries.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    two = entries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    two = two.select("shingle", "block", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "place")])
+    # an overlap of s in a union of n + n_b - s: 100 s >= 75 (n + n_b - s)
+    behind = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    pairs = one.join(two, ["shingle", "block"]).where(
+        (F.col("doc_id") < F.col("doc_id_b"))
+        & (F.col("component") != F.col("component_b"))
+        & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * 75)
+        & (behind * 175 >= (F.col("n") + F.col("n_b")) * 75)
+    )
+    return pairs.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect each component of ``docs``."""
     classes = sketch.where("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     representatives = sketch.join(classes.select("doc_id"), "doc_id", "left_semi")
-    pairs = candidates(representatives)
+    places = region_places(representatives)
+    pairs = candidates(places)
     facts = representatives.select("doc_id", "n_shingles", "lanes")
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]), F.col(side) == F.col(f"doc_id_{side}"))
@@ -230,7 +326,12 @@ def near_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
             member.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left"
         )
     apart = open_pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    return links.union(checkpoint(_confirmed(apart, sets)))
+    links = checkpoint(links.union(_confirmed(apart, sets)))
+    texts = _left_texts(places, links)
+    if texts.isEmpty():
+        return links
+    sets = _sets(docs, texts.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    return links.union(checkpoint(_confirmed(checkpoint(left_pairs(texts, sets)), sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

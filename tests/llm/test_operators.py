@@ -127,6 +127,25 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert all(r.kept for r in found if r.doc_id >= 1000)
 
 
+def test_links_between_texts_of_a_large_template(spark):
+    # a region of the template holds all texts, and few of a text's neighbours there are its partners
+    rnd = random.Random(17)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        own = [f"o{rnd.randrange(10**9)}" for _ in range(40)]
+        partner = list(own)
+        for at in (5, 11, 17, 23, 29, 35):
+            partner[at] = f"p{rnd.randrange(10**9)}"
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + partner))]
+    sets = {k: shingle_set(t) for k, t in rows}
+    for i in range(300):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        assert 0.75 <= len(a & b) / len(a | b) < 0.79 and 100 * len(a & sets[(2 * i + 2) % 600]) < 75 * len(a | sets[(2 * i + 2) % 600])
+    found = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - k % 2 for k, _ in rows}
+
+
 def test_near_duplicates_of_repeated_and_nameless_rows(spark, none):
     assert lsh_forest.near_duplicates(none).count() == 0 and lsh_forest.one_of_each(none).count() == 0
     text = prose(30, random.Random(4))

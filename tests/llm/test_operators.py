@@ -389,6 +389,39 @@ def test_near_passages_behind_texts_that_hold_a_part(spark):
     assert {(200 + i, 300 + i) for i in range(40)} <= got
 
 
+@pytest.mark.parametrize("size, changed", [(50, 1), (70, 1), (100, 2)])
+def test_near_passages_with_a_changed_word(spark, size, changed):
+    rnd = random.Random(size)
+    rows = []
+    for i in range(40):
+        passage = [f"w{rnd.randrange(10**9)}" for _ in range(size)]
+        copy = list(passage)
+        for j in range(changed):
+            copy[size * (j + 1) // (changed + 1)] = f"c{rnd.randrange(10**9)}"
+        for k, held in ((0, passage), (100, copy)):
+            before, after = ([f"z{rnd.randrange(10**9)}" for _ in range(30)] for _ in range(2))
+            rows.append((k + i, " ".join(before + held + after)))
+    spans = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other): (r.start, r.stop) for r in spans}
+    assert set(got) == {p for i in range(40) for p in ((i, 100 + i), (100 + i, i))}
+    assert set(got.values()) == {(30, 30 + size)}
+
+
+def test_a_second_passage_of_a_pair_that_has_one(spark):
+    rnd = random.Random(23)
+    fresh = lambda n: [f"z{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, spans = [], {}
+    for i in range(20):
+        one, two = fresh(50), fresh(50)
+        # text 0 holds too little of the second passage, and has the smallest id
+        for k, held in ((0, [two[:42], fresh(58)]), (100, [one, two]), (200, [one, two])):
+            parts = [fresh(100), held[0], fresh(100), held[1], fresh(100)]
+            rows.append((k + i, " ".join(w for p in parts for w in p)))
+    found = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i in range(20):
+        assert {(r.start, r.stop) for r in found if (r.doc_id, r.other) == (200 + i, 100 + i)} == {(100, 150), (250, 300)}
+
+
 def test_compact_windows_hold_every_subsequence():
     rnd = np.random.default_rng(1)
     values = rnd.integers(0, 60, 200).astype(np.uint64)

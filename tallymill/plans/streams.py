@@ -13,7 +13,7 @@ from tallymill.plans.registry import query, table
 from tallymill.plans.rendered import RECORDS_CTE, render_records, routes, routes_values
 from tallymill.plans.reporting import WORDS
 from tallymill.plans.running import HISTORY
-from tallymill.session import scratch_path
+from tallymill.session import input_bytes, scratch_path
 from tallymill.sinks.tables import ensure_schema
 from tallymill.sources.files import read_table
 from tallymill.streaming.history import current_history, stream_history
@@ -47,14 +47,26 @@ def _lines(spark: SparkSession, sf_dir: str, path: str, batches: int = 1) -> Dat
     if batches == 1:
         texts.write.text(f"{path}/text")
         return text_stream(spark, f"{path}/text")
-    texts.repartition(2 * batches).write.text(f"{path}/text")
-    return text_stream(spark, f"{path}/text", 2)
+    files = _files(texts, batches)
+    texts.repartition(files * batches).write.text(f"{path}/text")
+    return text_stream(spark, f"{path}/text", files)
+
+
+#: Bytes of a table that become one file of a stream.
+FILE_BYTES = 16 << 20
+
+
+def _files(rows: DataFrame, batches: int) -> int:
+    """Files of a batch: one for each core, and more for a larger table."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(2, cores, -(-input_bytes(rows) // (FILE_BYTES * batches)))
 
 
 def _in_batches(rows: DataFrame, path: str, batches: int) -> DataFrame:
     """The rows as a stream of so many batches."""
-    rows.repartition(2 * batches).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    files = _files(rows, batches)
+    rows.repartition(files * batches).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("stream_word_counts", WORDS)

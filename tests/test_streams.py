@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators.logs import Route
+from tallymill.plans.streams import _in_batches
+from tallymill.session import input_bytes, spread
 from tallymill.streaming import jobs
 from tallymill.streaming.history import current_history, stream_history
 from tests.fixtures import RECORDS
@@ -172,3 +174,42 @@ def test_ingest_survives_a_restart(spark, folder):
         jobs.stream_to_table(stream, "ingest.t", folder + "/c").awaitTermination()
     assert sorted(map(tuple, spark.table("ingest.t").collect())) == [("a", 1), ("b", 2)]
     spark.sql("DROP SCHEMA ingest CASCADE")
+
+
+def test_parts_grow_with_the_files(spark, folder):
+    cores = spark.sparkContext.defaultParallelism
+    for i in range(2):
+        spark.range(20_000).write.parquet(f"{folder}/{i}")
+        df = spark.read.parquet(f"{folder}/{i}")
+        held = sum(p.stat().st_size for p in Path(f"{folder}/{i}").glob("*.parquet"))
+        assert input_bytes(df) == held
+        assert spread(df.coalesce(1)).rdd.getNumPartitions() == cores
+        assert spread(df.coalesce(1), 8).rdd.getNumPartitions() == 8
+        scanned = df.rdd.getNumPartitions()
+        assert spread(df, 8).rdd.getNumPartitions() == max(cores, 8 * scanned)
+
+
+def test_a_log_batch_is_kept_in_bounded_parts(spark, folder, monkeypatch):
+    parts = []
+    keep = jobs.log_events
+    monkeypatch.setattr(jobs, "log_events", lambda df, *args: parts.append(df.rdd.getNumPartitions()) or keep(df, *args))
+    schema = "raw string, cluster string, pod string, container string"
+    rows = [(raw, "c", "p-driver", "spark") for raw in RECORDS]
+    spark.createDataFrame(rows * 20, schema).coalesce(1).write.json(folder + "/in")
+    stream = spark.readStream.schema(schema).json(folder + "/in")
+    jobs.stream_logs(stream, ROUTES, folder + "/out", folder + "/c").awaitTermination()
+    assert parts[0] > spark.sparkContext.defaultParallelism
+    assert jobs.routed_events(spark, folder + "/out").count() == 20 * 3
+
+
+def test_batches_have_files_for_all_cores(spark, folder):
+    spark.range(1_000).write.parquet(folder + "/table")
+    rows = spark.read.parquet(folder + "/table")
+    stream = _in_batches(rows, folder + "/in", 4)
+    found = []
+    name = F.col("_metadata.file_path")
+    stream.select("id", name.alias("file")).writeStream.foreachBatch(
+        lambda df, i: found.append((df.select("file").distinct().count(), df.count()))
+    ).option("checkpointLocation", folder + "/c").trigger(availableNow=True).start().awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    assert [n for n, _ in found] == [cores] * 4 and sum(n for _, n in found) == 1_000

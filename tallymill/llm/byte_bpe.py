@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -144,18 +145,10 @@ class Splitter:
 
 
 class _Numbers(dict):
-    """Numbers of words: those of the head have theirs, a new one gets the next."""
-
-    def __init__(self, head: dict[str, int]):
-        super().__init__()
-        self.head, self.rare = head, []
+    """Numbers of words: a copy of those of the head, to which a new word adds the next."""
 
     def __missing__(self, word: str) -> int:
-        number = self.head.get(word)
-        if number is None:
-            number = len(self.head) + len(self.rare)
-            self.rare.append(word)
-        self[word] = number
+        number = self[word] = len(self)
         return number
 
 
@@ -192,14 +185,16 @@ def _numbered(batches, split: Splitter, head: dict[str, int]):
     """
     part = TaskContext.get().partitionId()
     for nth, chunk in enumerate(_chunks(batches)):
+        # the copy is made at once, where a look into the head for each new word is not
         known, check, rows = _Numbers(head), 0, []
         for doc_id, text in chunk:
             words = split(text)
             numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
             check = zlib.crc32(numbers, check)
             rows.append((doc_id, numbers))
-        check = zlib.crc32("\0".join(known.rare).encode(), check)
-        yield (part << 44) + (nth << 24) + (check & 0xFFFFFF), rows, known.rare
+        rare = list(islice(known, len(head), None))
+        check = zlib.crc32("\0".join(rare).encode(), check)
+        yield (part << 44) + (nth << 24) + (check & 0xFFFFFF), rows, rare
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -228,8 +223,11 @@ def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
 def _encode_words(words: pa.Array, encoding: tiktoken.Encoding, kind: str) -> pa.Array:
     """The ids of each word as numbers of ``kind``; each distinct word is encoded once."""
     coded = words.dictionary_encode()
-    ids = [np.array(i, kind).tobytes() for i in map(encoding.encode_ordinary, coded.dictionary.to_pylist())]
-    return pa.array(ids, pa.binary()).take(coded.indices)
+    ids = list(map(encoding.encode_ordinary, coded.dictionary.to_pylist()))
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter(chain.from_iterable(ids), kind, ends[-1])
+    places = pa.array(ends * flat.itemsize, pa.int32()).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, places, pa.py_buffer(flat)]).take(coded.indices)
 
 
 def _named(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -109,3 +111,21 @@ def test_rows_that_change_between_readings_are_noticed(spark):
 def test_each_rare_word_is_encoded_once(docs):
     plan = byte_bpe.encode(docs, RANKS, PATTERN)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("hashpartitioning(word") == 1
+
+
+def test_a_chunk_takes_the_numbers_of_the_head_at_once():
+    head = {"a": 0, "b": 1}
+    numbers = byte_bpe._Numbers(head)
+    # the words of the head cost no call; new ones go on from there, each once
+    assert [dict.get(numbers, w) for w in "ab"] == [0, 1]
+    assert [numbers[w] for w in ["b", "y", "a", "x", "y"]] == [1, 2, 0, 3, 2]
+    assert list(numbers)[len(head):] == ["y", "x"] and head == {"a": 0, "b": 1}
+
+
+def test_words_are_encoded_in_their_order(library):
+    encoding = byte_bpe.whole_word_encoding(byte_bpe.read_ranks(RANKS))
+    words = [" same", "東京", "x" * 300, " same", "", "\n\n"]
+    for kind in ("<u2", "<u4"):
+        found = byte_bpe._encode_words(pa.array(words, pa.string()), encoding, kind).to_pylist()
+        assert [np.frombuffer(i, kind).tolist() for i in found] == [library.encode_ordinary(w) for w in words]
+        assert len(byte_bpe._encode_words(pa.array([], pa.string()), encoding, kind)) == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -27,13 +29,13 @@ class Factorisation:
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """``pairs (user, item, ...)`` with a ``prediction``, NULL for a user or item without ratings."""
-        numbered = pairs.join(self.users, "user", "left").join(self.items, "item", "left")
-        known = F.col("user_id").isNotNull() & F.col("item_id").isNotNull()
-        # the model takes no NULL, so what is unknown borrows a number
-        ids = {c: F.coalesce(c, F.lit(0)).cast("int") for c in ("user_id", "item_id")}
-        scored = self.model.transform(numbered.withColumn("_known", known).withColumns(ids))
-        prediction = F.when(F.col("_known"), F.col("prediction")).alias("prediction")
-        return scored.select(*pairs.columns, prediction)
+        # the factors are put under the keys first: there are fewer of them than pairs,
+        # which are then shuffled once for each side, not again for its numbers
+        users, items = (self.factors(s).withColumnRenamed("features", f"_{s}_factors") for s in ("user", "item"))
+        both = pairs.join(users, "user", "left").join(items, "item", "left")
+        # in floats and from the first on, as the model does
+        products = (F.get("_user_factors", F.lit(i)) * F.get("_item_factors", F.lit(i)) for i in range(self.model.rank))
+        return both.select(*pairs.columns, reduce(add, products, F.lit(0.0).cast("float")).alias("prediction"))
 
     def factors(self, side: str) -> DataFrame:
         """The factors of each ``user`` or ``item``."""

@@ -1,6 +1,7 @@
 """Dense numbers of keys, factors under the keys that ratings have, and points from large indexes."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,37 @@ def test_factors_of_any_keys(spark):
     assert found.factors("item").columns == ["item", "features"]
 
 
+def test_predictions_are_those_of_the_model(spark):
+    rows = [(3_000_000_000 + u, f"item {i}", float(1 + (u % 3) * (i % 4))) for u in range(12) for i in range(9) if (u + i) % 5]
+    found = factorise(spark.createDataFrame(rows, "user long, item string, rating double"), rank=3, iterations=4)
+    pairs = spark.createDataFrame([r[:2] for r in rows] * 2 + [(1, "item 1"), (None, "item 2")], "user long, item string")
+    numbered = pairs.join(found.users, "user").join(found.items, "item").select(
+        "user", "item", F.col("user_id").cast("int"), F.col("item_id").cast("int")
+    )
+    expected = sorted(tuple(r) for r in found.model.transform(numbered).select("user", "item", "prediction").collect())
+    predicted = found.predict(pairs)
+    assert dict(predicted.dtypes)["prediction"] == "float"
+    assert sorted(tuple(r) for r in predicted.where("prediction is not null").collect()) == expected
+    assert predicted.count() == len(expected) + 2 == 2 * len(rows) + 2
+
+
+def test_pairs_are_shuffled_once_for_each_side(spark, capsys):
+    rows = [(u, f"item {i}", float(u + i)) for u in range(6) for i in range(5)]
+    ratings = spark.createDataFrame(rows, "user long, item string, rating double")
+    found = factorise(ratings, rank=2, iterations=1)
+    pairs = ratings.select("user", "item", F.lit("x").alias("note")).where(F.rand() < 2)
+    before = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for name, value in zip(before, ("-1", "false")):
+        spark.conf.set(name, value)
+    try:
+        found.predict(pairs.withColumn("note", F.concat("note", "item"))).explain("formatted")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert sum("note#" in columns for columns in moved) == 2
+
+
 @pytest.mark.parametrize("first", [0, 10**6, 10**15, 2**62])
 def test_pi_from_any_index(spark, first):
     points = spark.range(20_000).select((F.col("id") + first).alias("id"))

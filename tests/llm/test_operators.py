@@ -422,6 +422,70 @@ def test_a_second_passage_of_a_pair_that_has_one(spark):
         assert {(r.start, r.stop) for r in found if (r.doc_id, r.other) == (200 + i, 100 + i)} == {(100, 150), (250, 300)}
 
 
+def test_a_common_phrase_makes_no_pairs_of_all_its_texts(spark, monkeypatch):
+    rnd = random.Random(31)
+    fresh = lambda n: [f"z{rnd.randrange(10**9)}" for _ in range(n)]
+    phrase, rows = fresh(13), [(10_000 + i, " ".join(fresh(40))) for i in range(20)]
+    for i in range(400):
+        rows.append((2_000 + i, " ".join(fresh(25) + phrase + fresh(25))))
+    for i in range(20):
+        # the smallest ids hold too little of the passage
+        passage = fresh(20) + phrase + fresh(20)
+        for k, held in ((0, passage[8:45]), (100, passage), (200, passage)):
+            rows.append((k + i, " ".join(fresh(30) + held + fresh(30))))
+    compared, confirmed = [], compact_windows._confirmed
+
+    def counted(docs, pairs):
+        compared.append(pairs.count())
+        return confirmed(docs, pairs)
+
+    monkeypatch.setattr(compact_windows, "_confirmed", counted)
+    found = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other): (r.start, r.stop) for r in found}
+    assert got == {p: (30, 83) for i in range(20) for p in ((100 + i, 200 + i), (200 + i, 100 + i))}
+    assert sum(compared) < 2_000
+
+
+def test_the_exact_join_misses_no_link_of_two_classes(spark):
+    rnd = random.Random(37)
+    fresh = lambda n: [f"z{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, linked = [], set()
+    for i in range(30):
+        passage = fresh(60)
+        for k in (0, 1):
+            copy = list(passage)
+            copy[30 * k] = "changed"
+            rows.append((100 * k + i, " ".join(fresh(40) + copy + fresh(40))))
+        linked.add((100 + i, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = docs.select("doc_id", F.lit(0).alias("lo"), F.lit(136).alias("hi"), F.lit(True).alias("open"))
+    no_class = spark.createDataFrame([], compact_windows._SPANS)
+    sets = compact_windows.checkpoint(compact_windows._wide_sets(docs, wide))
+    for nearest in (False, True):
+        assert {(r.x, r.y) for r in compact_windows._sharing(sets, no_class, nearest).collect()} == linked
+    found = compact_windows.checkpoint(compact_windows._confirmed(docs, compact_windows._sharing(sets, no_class, False)))
+    assert {(r.doc_id, r.other) for r in found.collect()} >= linked
+    # passages that the first round confirmed make one class of a pair
+    assert compact_windows._sharing(sets, found, False).count() == 0
+
+
+def test_places_of_dense_stretches_and_of_classes():
+    rnd = np.random.default_rng(8)
+    for share in (0.3, 0.7, 0.8, 0.95):
+        shared = rnd.random(160) < share
+        want = np.zeros(160, bool)
+        for a in range(160):
+            for b in range(a + compact_windows.LEAST, 161):
+                if shared[a:b].sum() * 4 >= (b - a) * 3:
+                    want[a:b] = True
+        assert not (want & ~compact_windows.dense_places(shared)).any()
+    assert not compact_windows.dense_places(np.arange(200) % 60 < 13).any()
+    spans = [{"start": 10, "stop": 70, "class": 5}, {"start": 90, "stop": 150, "class": 5}, {"start": 300, "stop": 360, "class": 6}]
+    got = compact_windows.class_of_places(400, 0, spans)
+    # the first gap is too short for a passage, the second is not, the last is
+    assert (got[:146] == 5).all() and (got[146:300] == 0).all() and (got[300:356] == 6).all() and (got[356:] == 6).all()
+
+
 def test_compact_windows_hold_every_subsequence():
     rnd = np.random.default_rng(1)
     values = rnd.integers(0, 60, 200).astype(np.uint64)

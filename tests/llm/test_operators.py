@@ -469,6 +469,41 @@ def test_the_exact_join_misses_no_link_of_two_classes(spark):
     assert compact_windows._sharing(sets, found, False).count() == 0
 
 
+def test_near_passages_of_all_pairs_of_a_cluster(spark):
+    rnd = random.Random(41)
+    fresh = lambda n: [f"z{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, passage = [], fresh(150)
+    for i in range(30):
+        copy = list(passage)
+        if i % 3:
+            copy[60 + i] = f"c{i}"
+        rows.append((i, " ".join(fresh(30) + copy + fresh(30))))
+    # one line again and again needs few distinct shingles
+    line = fresh(6)
+    rows += [(100 + i, " ".join(fresh(60) + 12 * line + fresh(60))) for i in range(4)]
+    spans = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other) for r in spans}
+    assert got == {(i, j) for of in (range(30), range(100, 104)) for i in of for j in of if i != j}
+    assert len(set(spans)) == len(spans)
+
+
+def test_cells_of_many_texts_find_the_pairs_that_share_enough(monkeypatch):
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 5_000, 200)
+    number = [np.where(rnd.random(200) < rnd.choice([0.1, 0.5, 0.9]), base, rnd.integers(0, 5_000, 200)) for _ in range(60)]
+    ids, side = rnd.permutation(60), np.arange(60) % 2
+    for table, frequent in ((1 << 20, 24), (90, 3)):
+        monkeypatch.setattr(compact_windows, "TABLE", table)
+        monkeypatch.setattr(compact_windows, "FREQUENT", frequent)
+        for sides in (side * 0, side):
+            got = set(zip(*(x.tolist() for x in compact_windows._alike(sides, ids, number, 5_000))))
+            for i in range(60):
+                for j in range(i + 1, 60):
+                    shared = max(np.isin(number[i], number[j]).sum(), np.isin(number[j], number[i]).sum())
+                    assert shared < 34.5 or (i, j) in got or (sides.any() and sides[i] == sides[j])
+            assert len(got) < 900 and all(sides[i] != sides[j] or not sides.any() for i, j in got)
+
+
 def test_places_of_dense_stretches_and_of_classes():
     rnd = np.random.default_rng(8)
     for share in (0.3, 0.7, 0.8, 0.95):

@@ -16,6 +16,11 @@ from tallymill.session import checkpoint
 
 #: Users and items are numbered with so many different numbers at most.
 MAX_IDS = 1 << 31
+#: Ratings of a block of users or items on average: a task sorts those of one block
+#: in memory, and the factors that these need.
+BLOCK_RATINGS = 1 << 21
+#: Blocks of users and of items at least, as many as ALS makes by itself.
+LEAST_BLOCKS = 10
 
 
 @dataclass
@@ -49,7 +54,9 @@ def factorise(ratings: DataFrame, rank: int = 8, iterations: int = 5, seed: int
 
     Keys may be of any type that has an order: they are numbered densely for the
     training and put back afterwards. Ratings without a user, item or rating are
-    left out. The ratings are read in every iteration and written once for that.
+    left out. The ratings are read in every iteration and written once for that;
+    they are dealt to more blocks the more there are, so that memory is bounded by
+    a block.
     The report has one row: the ratings, users and items, the root mean square
     error, and the standard deviation of the ratings, which is the error of
     always predicting their mean.
@@ -64,6 +71,8 @@ def factorise(ratings: DataFrame, rank: int = 8, iterations: int = 5, seed: int
             F.col("user_id").cast("int"), F.col("item_id").cast("int"), "rating"
         )
     )
+    # blocks of a fixed number would grow with the ratings, and a task holds a whole one
+    blocks = max(LEAST_BLOCKS, -(-kept.count() // BLOCK_RATINGS))
     als = ALS(
         rank=rank,
         maxIter=iterations,
@@ -71,6 +80,8 @@ def factorise(ratings: DataFrame, rank: int = 8, iterations: int = 5, seed: int
         userCol="user_id",
         itemCol="item_id",
         ratingCol="rating",
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         checkpointInterval=2,
         seed=seed,
     )

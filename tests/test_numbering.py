@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallymill.operators import recommend
 from tallymill.operators.numbering import dense_ids
 from tallymill.operators.recommend import factorise
 from tallymill.operators.reports import CIRCLE, STEP_X, STEP_Y, estimate_pi
@@ -79,6 +80,17 @@ def test_pairs_are_shuffled_once_for_each_side(spark, capsys):
     assert sum("note#" in columns for columns in moved) == 2
 
 
+def test_blocks_of_ratings_are_bounded(spark, monkeypatch):
+    rows = [(3_000_000_000 + u, f"item {i}", float(1 + (u % 3) * (i % 4))) for u in range(40) for i in range(9) if (u + i) % 5]
+    ratings = spark.createDataFrame(rows, "user long, item string, rating double")
+    for held, blocks in ((1_000, 10), (12, -(-len(rows) // 12))):
+        monkeypatch.setattr(recommend, "BLOCK_RATINGS", held, raising=False)
+        found = factorise(ratings, rank=3, iterations=4)
+        assert found.model.userFactors.rdd.getNumPartitions() == found.model.itemFactors.rdd.getNumPartitions() == blocks
+        report = found.report.first()
+        assert (report.ratings, report.users, report.items) == (len(rows), 40, 9) and report.rmse < report.stddev / 2
+
+
 @pytest.mark.parametrize("first", [0, 10**6, 10**15, 2**62])
 def test_pi_from_any_index(spark, first):
     points = spark.range(20_000).select((F.col("id") + first).alias("id"))
